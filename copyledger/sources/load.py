@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -32,7 +33,7 @@ def next_id(catalog: DataFrame) -> int:
     return catalog.agg(F.coalesce(F.max("id") + 1, F.lit(FIRST_ID)).alias("n")).first()["n"]
 
 
-def _read_files(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+def _read_files(spark: SparkSession, paths: Sequence[str], uris: Sequence[str]) -> DataFrame:
     """Rows of all files with ``_file``, their position in ``uris``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
     types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
@@ -44,11 +45,11 @@ def _read_files(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .csv(list(uris))
+        .csv(list(paths))
     )
     # An argument may be a folder: a row belongs to the argument its file's
     # path equals or lies below.
-    at = F.col("_metadata.file_path")
+    at = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/")
     position = F.coalesce(*[F.when(path_fn.under(at, F.lit(u)), F.lit(i)) for i, u in enumerate(uris)])
     typed = {c: F.col(c).try_cast(types[c]) for c in MANIFEST_COLUMNS}
     broken = F.col("_corrupt").isNotNull() | (F.length("hash") > 40)
@@ -62,15 +63,15 @@ def _read_files(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
 
 
 def _existing_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Qualified URI of every path that exists, in argument order."""
+    """Qualified location of every path that exists, in argument order. Local
+    files drop their scheme, whose slashes Spark and Hadoop write differently."""
     conf = spark._jsc.hadoopConfiguration()
     found = {}
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
         if fs.exists(path):
-            uri = fs.makeQualified(path).toUri().toString()
-            found[p] = uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri
+            found[p] = re.sub(r"\Afile:/+", "/", fs.makeQualified(path).toUri().toString())
     return found
 
 
@@ -95,7 +96,7 @@ def load_catalog(
         status = skipped.select("path", F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("row_count"))
         return LoadResult(existing if existing is not None else empty, status)
 
-    rows = _read_files(spark, list(uris.values()))
+    rows = _read_files(spark, present, list(uris.values()))
     per_path = (
         rows.withColumn("full_path", path_fn.full_path("base_path", "file_path"))
         .groupBy("full_path", "_file")
