@@ -131,15 +131,17 @@ def media_view(
     wanted: str | None = None,
 ) -> DataFrame:
     """One of the documented views: a family, optionally only its primary or
-    redundant rows. The family filter follows the ranking."""
-    if wanted == "primary":
-        rows = files_primary(catalog, base_paths, categories)
-    elif wanted == "redundant":
-        rows = files_redundant(catalog, base_paths, categories)
-    else:
-        rows = files(catalog, base_paths, categories, with_group_num=False)
+    redundant rows. A MIME type decides its category and is part of the group
+    key, so whole groups are dropped before they are ranked."""
     chosen = FAMILY_CATEGORIES[family]
-    return rows if chosen is None else rows.where(F.col("category").isin(chosen))
+    if chosen is not None:
+        types = sized(categories).where(F.col("category").isin(chosen)).select("mime_type")
+        catalog = catalog.join(types, "mime_type", "left_semi")
+    if wanted == "primary":
+        return files_primary(catalog, base_paths, categories)
+    if wanted == "redundant":
+        return files_redundant(catalog, base_paths, categories)
+    return files(catalog, base_paths, categories, with_group_num=False)
 
 
 def mime_filter(df: DataFrame, majors: Iterable[str] = ()) -> DataFrame:

@@ -104,9 +104,9 @@ def manifest_write(spark, sf):
     return manifest_io.read_manifest(spark, out).drop("source")
 
 
-def _write_pair(spark, sf):
+def _write_scans(spark, sf, **scans):
     root = scratch_path(spark, "load")
-    for name, volumes in (("a", (0, 1, 2)), ("b", (2, 3)), ("c", (3, 4, 5))):
+    for name, volumes in scans.items():
         manifest_io.write_manifest(tables.manifest(spark, sf, volumes), f"{root}/{name}")
     return root
 
@@ -116,7 +116,7 @@ def _write_pair(spark, sf):
            file_size, base_path, file_path, full_path, file_name, file_ext
     FROM cat""")
 def catalog_load(spark, sf):
-    root = _write_pair(spark, sf)
+    root = _write_scans(spark, sf, a=(0, 1, 2), c=(3, 4, 5))
     return load.load_catalog(spark, [f"{root}/a", f"{root}/c"]).catalog
 
 
@@ -126,7 +126,7 @@ def catalog_load(spark, sf):
     UNION ALL SELECT 'b', 'failed', count(*) FROM cat WHERE base_path IN ('/vol/v2', '/vol/v3')
     UNION ALL SELECT 'c', 'not reached', count(*) FROM cat WHERE base_path IN ('/vol/v3', '/vol/v4', '/vol/v5')""")
 def catalog_load_status(spark, sf):
-    root = _write_pair(spark, sf)
+    root = _write_scans(spark, sf, a=(0, 1, 2), b=(2, 3), c=(3, 4, 5))
     result = load.load_catalog(spark, [f"{root}/{n}" for n in ("a", "none", "b", "c")])
     return result.status.select(F.substring_index("path", "/", -1).alias("name"), "status", "row_count")
 
@@ -502,20 +502,41 @@ def lookup_by_id(spark, sf):
         JOIN (VALUES ('any'), ('primary'), ('redundant')) w(wanted) ON w.wanted IN ('any', f.disposition))
     GROUP BY ALL""")
 def media_family(spark, sf):
-    args = _full_args(spark, sf)
-    parts = None
-    for family in cat_ops.FAMILY_CATEGORIES:
-        for wanted in (None, "primary", "redundant"):
-            rows = cat_ops.media_view(*args, family, wanted).select(
-                F.lit(family).alias("family"), F.lit(wanted or "any").alias("wanted"), "file_size"
-            )
-            parts = rows if parts is None else parts.unionByName(rows)
-    totals = parts.groupBy("family", "wanted").agg(
-        F.count(F.lit(1)).alias("row_count"), sizes.exact_sum("file_size").alias("total_bytes")
+    """Rows and bytes of every family and disposition, from one pass over the
+    ranked catalog; the per-category totals are then spread over the families."""
+    ranked = cat_ops.files(*_full_args(spark, sf), with_group_num=False)
+    per_category = ranked.groupBy("category", "disposition").agg(
+        F.count(F.lit(1)).alias("_n"), sizes.exact_sum("file_size").alias("_b")
+    )
+    member = {
+        family: F.lit(True) if chosen is None else F.coalesce(F.col("category").isin(chosen), F.lit(False))
+        for family, chosen in cat_ops.FAMILY_CATEGORIES.items()
+    }
+    families = F.array_compact(F.array(*[F.when(test, F.lit(family)) for family, test in member.items()]))
+    spread = per_category.withColumn("family", F.explode(families)).withColumn(
+        "wanted", F.explode(F.array(F.lit("any"), "disposition"))
+    )
+    totals = spread.groupBy("family", "wanted").agg(
+        F.sum("_n").alias("row_count"), sizes.exact_sum("_b").alias("total_bytes")
     )
     return _as_bigint(totals, "total_bytes")
 
 
+def _register_view(family: str, wanted: str | None) -> None:
+    tests = {"media": "category IN ('image', 'video', 'audio')", "images": "category = 'image'",
+             "videos": "category = 'video'", "audio": "category = 'audio'"}
+    test = tests[family] + (f" AND disposition = '{wanted}'" if wanted else "")
+
+    @query(f"{family}_{wanted}" if wanted else family, "files", f"SELECT {FILES_NO_NUM} FROM files WHERE {test}")
+    def view(spark, sf):
+        return cat_ops.media_view(*_full_args(spark, sf), family, wanted)
+
+
+for _family in ("media", "images", "videos", "audio"):
+    for _wanted in (None, "primary", "redundant"):
+        _register_view(_family, _wanted)
+
+
 # --- joins ---------------------------------------------------------------
 
 
