@@ -64,7 +64,9 @@ def normalize_path(path: ColumnLike) -> Column:
         return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
 
     parts = F.aggregate(F.split(p, "/"), F.lit([]).cast("array<string>"), step)
-    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+    folded = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+    # Most paths are clean already; only the others pay for the fold.
+    return F.when(p.rlike(r"/\.{0,2}(?:/|\z)|\A\.{1,2}(?:/|\z)"), folded).otherwise(p)
 
 
 def expected_full_path(base: ColumnLike, file: ColumnLike) -> Column:

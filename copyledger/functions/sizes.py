@@ -78,6 +78,18 @@ def exact_sum(c: ColumnLike) -> Column:
     return F.coalesce(F.sum(as_col(c).cast("decimal(38,0)")), _big(0))
 
 
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _decimal_text(tally: Column, places: int, negative: Column) -> Column:
+    """``tally`` counts units of 10**-places."""
+    whole = _div(tally, F.lit(10**places)).cast("string")
+    fraction = F.lpad((tally % F.lit(10**places)).cast("string"), places, "0")
+    sign = F.when(negative & (tally > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, whole, F.lit("."), fraction)
+
+
 def fixed_ratio(numerator: ColumnLike, divisor: Column, places: int, rounded: bool = True) -> Column:
     """numerator / divisor as text with ``places`` decimals, half-up or cut.
 
@@ -87,29 +99,52 @@ def fixed_ratio(numerator: ColumnLike, divisor: Column, places: int, rounded: bo
     scaled = F.abs(n) * _big(10**places)
     if rounded:
         scaled = (scaled * _big(2) + divisor).cast("decimal(38,0)")
-        q = F.call_function("div", scaled, (divisor * _big(2)).cast("decimal(38,0)"))
+        divisor = (divisor * _big(2)).cast("decimal(38,0)")
+    return _decimal_text(_div(scaled, divisor), places, n < 0)
+
+
+def _fixed_long(n: Column, unit: Column, places: int, rounded: bool) -> Column:
+    """:func:`fixed_ratio` in 64-bit arithmetic, for units whose scaled
+    remainder fits."""
+    magnitude = F.abs(n)
+    whole, rest = _div(magnitude, unit), magnitude % unit
+    if rounded:
+        part = _div(rest * F.lit(2 * 10**places) + unit, unit * F.lit(2))
     else:
-        q = F.call_function("div", scaled.cast("decimal(38,0)"), divisor.cast("decimal(38,0)"))
-    whole = F.call_function("div", q, F.lit(10**places)).cast("string")
-    fraction = F.lpad((q % F.lit(10**places)).cast("string"), places, "0")
-    sign = F.when((n < 0) & (q > 0), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, whole, F.lit("."), fraction)
+        part = _div(rest * F.lit(10**places), unit)
+    return _decimal_text(whole * F.lit(10**places) + part, places, n < 0)
 
 
-def size_text(size: ColumnLike, style: str) -> Column:
+def size_text(size: ColumnLike, style: str, total: bool = False) -> Column:
+    """Size of one file as text; ``total`` is for sums, which may exceed 64 bits.
+
+    The unit is picked first and divided by once, which keeps the generated
+    code small.
+    """
     spec = STYLES[style]
-    n = as_col(size).cast("decimal(38,0)")
-    text = None
-    for limit, unit, label in spec.units:
-        if unit == 1 and spec.plain_bytes:
-            number = n.cast("string")
-        else:
-            number = fixed_ratio(n, _big(unit), spec.places, spec.rounded)
-        shown = F.concat(number, F.lit(f" {label}"))
-        if limit is None:
-            return F.when(n.isNotNull(), text.otherwise(shown))
-        text = F.when(n < _big(limit), shown) if text is None else text.when(n < _big(limit), shown)
-    raise ValueError(style)
+    n = as_col(size).cast("decimal(38,0)" if total else "bigint")
+
+    def by_size(values: list[Column]) -> Column:
+        limits = [_big(limit) if total else F.lit(limit) for limit, _, _ in spec.units[:-1]]
+        chosen = F.when(n < limits[0], values[0])
+        for limit, value in zip(limits[1:], values[1:]):
+            chosen = chosen.when(n < limit, value)
+        return chosen.otherwise(values[-1])
+
+    wide_unit = by_size([_big(unit) for _, unit, _ in spec.units])
+    if total:
+        number = fixed_ratio(n, wide_unit, spec.places, spec.rounded)
+    else:
+        unit = by_size([F.lit(unit).cast("bigint") for _, unit, _ in spec.units])
+        number = _fixed_long(n, unit, spec.places, spec.rounded)
+        starts = [0] + [limit for limit, _, _ in spec.units[:-1]]
+        too_wide = [start for start, (_, u, _) in zip(starts, spec.units) if (u + 1) * 2 * 10**spec.places >= 2**63]
+        if too_wide:
+            number = F.when(n < too_wide[0], number).otherwise(fixed_ratio(n, wide_unit, spec.places, spec.rounded))
+    if spec.plain_bytes:
+        number = F.when(n < spec.units[0][0], n.cast("string")).otherwise(number)
+    label = by_size([F.lit(f" {text}") for _, _, text in spec.units])
+    return F.concat(number, label)
 
 
 def percent_text(part: ColumnLike, whole: ColumnLike, places: int) -> Column:

@@ -70,7 +70,7 @@ def purge_summary(split: DataFrame, reference: DataFrame) -> DataFrame:
     # Both sides are single-row aggregates, joined on a constant.
     joined = totals.withColumn("_one", F.lit(1)).join(keys.withColumn("_one", F.lit(1)), "_one")
     return joined.select(
-        "matched", "reference_keys", "planned", "retained", sizes.size_text("_bytes", "binary").alias("space_saved")
+        "matched", "reference_keys", "planned", "retained", sizes.size_text("_bytes", "binary", total=True).alias("space_saved")
     )
 
 
@@ -120,8 +120,8 @@ def select_summary(scope: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~F.col("is_best"), F.col("_n"))), F.lit(0)).alias("to_delete"),
     )
     return totals.select(
-        sizes.size_text("_selected", "binary").alias("selected_size"),
-        sizes.size_text("_unselected", "binary").alias("unselected_size"),
+        sizes.size_text("_selected", "binary", total=True).alias("selected_size"),
+        sizes.size_text("_unselected", "binary", total=True).alias("unselected_size"),
         "to_delete",
     )
 
@@ -194,7 +194,8 @@ def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) ->
     )
     wanted = targets.select(paths.normalize_path("path").alias("_norm")).distinct()
     looked_up = wanted.join(index, "_norm", "left")
-    no_meta = looked_up.where(F.col("hash").isNull()).select(
+    # Both uses of the lookup read the same columns, so it is shuffled once.
+    no_meta = looked_up.where(F.col("hash").isNull() & F.col("mime_type").isNull()).select(
         F.lit("no_meta").alias("status"),
         F.lit(None).cast("string").alias("hash"),
         F.lit(None).cast("string").alias("mime_type"),

@@ -50,7 +50,7 @@ def mime_duplication_summary(catalog: DataFrame, base_paths: DataFrame) -> DataF
         "mime_type",
         "primary_count",
         "redundant_count",
-        sizes.size_text("_bytes", "si2").alias("redundant_size"),
+        sizes.size_text("_bytes", "si2", total=True).alias("redundant_size"),
         F.concat(sizes.percent_text("redundant_count", total, 2), F.lit("%")).alias("pct_duplication"),
     )
 
@@ -65,7 +65,7 @@ def redundant_by_mime(catalog: DataFrame, base_paths: DataFrame, by_hash: bool =
         .agg(F.sum("redundant").alias("file_count"), sizes.exact_sum("redundant_bytes").alias("_bytes"))
     )
     return counted.orderBy(F.desc("_bytes"), *keys).select(
-        *keys, "file_count", sizes.size_text("_bytes", "iec1").alias("size_binary")
+        *keys, "file_count", sizes.size_text("_bytes", "iec1", total=True).alias("size_binary")
     )
 
 
@@ -75,7 +75,7 @@ def category_sizes(catalog: DataFrame, base_paths: DataFrame, categories: DataFr
     per_mime = primaries.groupBy("mime_type").agg(sizes.exact_sum("primary_bytes").alias("_b"))
     totals = with_known_category(per_mime, categories).groupBy("category").agg(sizes.exact_sum("_b").alias("_bytes"))
     return totals.orderBy(F.desc("_bytes"), "category").select(
-        "category", sizes.size_text("_bytes", "si1").alias("si_pretty")
+        "category", sizes.size_text("_bytes", "si1", total=True).alias("si_pretty")
     )
 
 

@@ -54,7 +54,7 @@ def parse_strict(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_failfast(lines: DataFrame) -> DataFrame:
     """Typed rows; trailing empty fields are dropped before counting and the
     first malformed line or size aborts the query."""
-    parts = F.split(F.regexp_replace("value", r"\t+\z", ""), "\t", -1)
+    parts = F.split(F.rtrim("value", F.lit("\t")), "\t", -1)
     size = F.get(parts, F.lit(2))
     well_formed = (F.size(parts) == 6) & size.rlike(r"\A[+-]?[0-9]+\z") & size.try_cast("bigint").isNotNull()
     checked = lines.where(
