@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -11,10 +13,9 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import ColumnLike, as_col, mime, paths, times
 from copyledger.operators.manifest import require_bases
-from copyledger.schema import MANIFEST_COLUMNS
+from copyledger.session import scratch_path
 
-# Bodies above this many bytes are hashed in chunks instead of as one value.
-LARGE_FILE = 512 * 1024 * 1024
+# Bytes read at a time when a file is hashed.
 CHUNK = 8 * 1024 * 1024
 
 
@@ -53,15 +54,38 @@ def _glob_for(include: list[str]) -> str | None:
     return "*.{" + ",".join(any_case) + "}" if any_case else None
 
 
-def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest of large files on shared mounts, read a chunk at a time; files
-    that cannot be read are left out, like any other unreadable file."""
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder: subfolders and regular files, links not followed.
+    Folders and entries that cannot be read are left out."""
+    for batch in batches:
+        for folder in batch["folder"]:
+            rows = []
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        try:
+                            is_dir = e.is_dir(follow_symlinks=False)
+                            if is_dir or e.is_file(follow_symlinks=False):
+                                info = e.stat(follow_symlinks=False)
+                                rows.append((e.path, is_dir, info.st_size, info.st_mtime_ns // 10**9))
+                        except OSError:
+                            continue
+                        if len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
+                            rows = []
+            except OSError:
+                pass
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-1 of each file, read a chunk at a time; unreadable files are left out."""
     for batch in batches:
         digests = []
-        for uri in batch["_uri"]:
+        for path in batch["path"]:
             digest = hashlib.sha1()
             try:
-                with open(uri.removeprefix("file:"), "rb") as f:
+                with open(path, "rb") as f:
                     while chunk := f.read(CHUNK):
                         digest.update(chunk)
                 digests.append(digest.hexdigest())
@@ -70,14 +94,64 @@ def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(hash=digests)
 
 
-def scan_files(
-    spark: SparkSession, root: str, include: Iterable[str] = (), large_file: int = LARGE_FILE
-) -> DataFrame:
-    """Manifest rows of every file below ``root``.
+def _tasks(spark: SparkSession, wanted: int) -> int:
+    return min(max(wanted, spark.sparkContext.defaultParallelism), 100_000)
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below ``root``: path, length, mtime (epoch seconds).
+
+    ``root`` lies on a mount that all executors share. Folders are listed one
+    level at a time on the executors, and each level is written to the shared
+    folder, so a lost executor repeats only its own listing. Spark's file
+    sources are not used because they leave out empty files and dotfiles.
+    """
+    out = scratch_path(spark, "walk")
+    folders, n, depth = spark.createDataFrame([(root,)], "folder string"), 1, 0
+    while n:
+        listed = folders.repartition(_tasks(spark, n // 1000), "folder").mapInPandas(
+            _list_folders, "path string, is_dir boolean, length bigint, mtime bigint"
+        )
+        listed.write.parquet(f"{out}/level={depth}")
+        folders = spark.read.parquet(f"{out}/level={depth}").where("is_dir").select(F.col("path").alias("folder"))
+        n, depth = folders.count(), depth + 1
+    return spark.read.parquet(out).where("NOT is_dir").select("path", "length", "mtime")
+
+
+def scan_files(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
+    """Manifest rows of every file below ``root`` on a shared mount.
+
+    MIME types come from file names, and only wanted files are opened. Times
+    are in the session time zone, to the second. Hashing is spread by files and
+    bytes; a file is read in chunks by one task, whatever its size.
+    """
+    root = root.rstrip("/") or "/"
+    include = list(include)
+    files = walk(spark, root).withColumn("relative", F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/")))
+    kind = mime.mime_from_name("relative")
+    if include:
+        files = files.where(mime.major_type(kind).isin(include))
+    load = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    tasks = _tasks(spark, max(load["n"] // 20_000, load["b"] // (8 * 1024**3)))
+    hashed = files.repartition(tasks, "path").mapInPandas(
+        _hash_files, "path string, length bigint, mtime bigint, relative string, hash string"
+    )
+    return hashed.where("hash IS NOT NULL").select(
+        "hash",
+        F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("last_modified"),
+        F.col("length").alias("file_size"),
+        kind.alias("mime_type"),
+        F.lit(root).alias("base_path"),
+        F.col("relative").alias("file_path"),
+    )
+
+
+def scan_store(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
+    """Manifest rows of the objects below a store location, hashed in the JVM.
 
-    MIME types come from file names. Bodies are only opened for wanted
-    extensions; unreadable files are skipped. Files above ``large_file`` bytes
-    are digested in chunks, as one value holds at most 2 GB.
+    For stores that executors do not mount. The file source leaves out empty
+    objects and names that start with a dot or underscore, and an object must
+    fit in 2 GB; use :func:`scan_files` where a mount exists.
     """
     include = list(include)
     reader = (
@@ -88,30 +162,16 @@ def scan_files(
     )
     glob = _glob_for(include)
     found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = F.rtrim(F.lit(root.removeprefix("file://")), F.lit("/"))
+    base = F.lit(re.sub(r"\Afile:/+", "/", root).rstrip("/"))
     local = F.regexp_replace("path", r"\Afile:/+", "/")
-    relative = F.substr(local, F.length(base) + 2)
-    kind = mime.mime_from_name(relative)
-    if include:
-        found = found.where(mime.major_type(kind).isin(include))
-    described = {
-        "last_modified": times.whole_seconds(F.col("modificationTime").cast("timestamp_ntz")),
-        "file_size": F.col("length"),
-        "mime_type": kind,
-        "base_path": base,
-        "file_path": relative,
-    }
-    columns = [c.alias(n) for n, c in described.items()]
-    small = found.where(F.col("length") <= large_file).select(F.sha1("content").alias("hash"), *columns)
-    large = found.where(F.col("length") > large_file).select(
-        *columns, F.concat(F.lit("file:"), local).alias("_uri")
-    )
-    hashed = large.repartition(F.col("_uri")).mapInPandas(
-        _hash_in_chunks,
-        "last_modified timestamp_ntz, file_size bigint, mime_type string, base_path string, "
-        "file_path string, _uri string, hash string",
+    return inventory(
+        found,
+        base=base,
+        path=F.substr(local, F.length(base) + 2),
+        body="content",
+        mtime=F.col("modificationTime").cast("timestamp_ntz"),
+        include=include,
     )
-    return small.select(*MANIFEST_COLUMNS).unionByName(hashed.where("hash IS NOT NULL").select(*MANIFEST_COLUMNS))
 
 
 def missing_rows(catalog: DataFrame, inventory_now: DataFrame, live_bases: DataFrame) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from copyledger.schema import MANIFEST_COLUMNS
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], line_sep: str | None = None) -> DataFrame:
     """Text lines with their file (``source``) and 1-based ``line_no``.
 
+    Lines end at LF, CR LF or CR unless ``line_sep`` names the only terminator.
     Files are read in splits. A row's position inside its split plus the line
     counts of the file's earlier splits gives the line number, so no file has
     to be read by a single task.
     """
-    raw = spark.read.text(paths).select(
+    raw = spark.read.text(paths, lineSep=line_sep).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_pos"),
@@ -118,7 +119,7 @@ def parse_id_list(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_id_list(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return parse_id_list(read_lines(spark, paths))
+    return parse_id_list(read_lines(spark, paths, "\n"))
 
 
 def parse_ts_fixes(lines: DataFrame) -> DataFrame:
@@ -135,4 +136,4 @@ def parse_ts_fixes(lines: DataFrame) -> DataFrame:
 
 
 def read_ts_fixes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ts_fixes(read_lines(spark, path))
+    return parse_ts_fixes(read_lines(spark, path, "\n"))
