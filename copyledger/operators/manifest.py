@@ -60,17 +60,27 @@ def purge_groups(split: DataFrame) -> DataFrame:
 
 def purge_summary(split: DataFrame, reference: DataFrame) -> DataFrame:
     """One row of totals. ``planned`` counts what a purge would delete."""
-    totals = split.agg(
-        F.count_if("matched").alias("matched"),
-        F.count_if("matched").alias("planned"),
-        F.count_if(~F.col("matched")).alias("retained"),
-        sizes.exact_sum(F.when(F.col("matched"), F.col("file_size"))).alias("_bytes"),
+    matched = F.col("matched")
+    counted = split.select(
+        matched.cast("bigint").alias("matched"),
+        (~matched).cast("bigint").alias("retained"),
+        F.when(matched, F.col("file_size")).alias("size"),
+        F.lit(0).cast("bigint").alias("keys"),
     )
-    keys = reference_keys(reference).agg(F.count(F.lit(1)).alias("reference_keys"))
-    # Both sides are single-row aggregates, joined on a constant.
-    joined = totals.withColumn("_one", F.lit(1)).join(keys.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
-        "matched", "reference_keys", "planned", "retained", sizes.size_text("_bytes", "binary", total=True).alias("space_saved")
+    zero = F.lit(0).cast("bigint")
+    keys = reference_keys(reference).select(
+        zero.alias("matched"), zero.alias("retained"), zero.alias("size"), F.lit(1).cast("bigint").alias("keys")
+    )
+    totals = counted.unionByName(keys).agg(
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("matched", "retained", "keys")],
+        sizes.exact_sum("size").alias("_bytes"),
+    )
+    return totals.select(
+        "matched",
+        F.col("keys").alias("reference_keys"),
+        F.col("matched").alias("planned"),
+        "retained",
+        sizes.size_text("_bytes", "binary", total=True).alias("space_saved"),
     )
 
 
