@@ -90,6 +90,16 @@ def dense_number(df: DataFrame, bucket: Column, order: Sequence[ColumnLike], nam
     )
 
 
+def descending(text: ColumnLike) -> Column:
+    """Text that sorts ascending where the input sorts descending (by bytes).
+
+    The hex digits are mirrored; the closing 'G' puts a longer text before its
+    own prefix. Lets one min(struct(...)) mix both directions.
+    """
+    mirrored = F.translate(F.hex(as_col(text).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
+    return F.concat(mirrored, F.lit("G"))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key. The limit of one is applied before the shuffle
     too, so a hot key sends one row per input task."""

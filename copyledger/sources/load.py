@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths as path_fn
-from copyledger.operators.keyed import dense_number
+from copyledger.operators.keyed import dense_number, sized
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, MANIFEST_COLUMNS, as_catalog
 
 
@@ -33,8 +33,14 @@ def next_id(catalog: DataFrame) -> int:
     return catalog.agg(F.coalesce(F.max("id") + 1, F.lit(FIRST_ID)).alias("n")).first()["n"]
 
 
-def _read_files(spark: SparkSession, paths: Sequence[str], uris: Sequence[str]) -> DataFrame:
-    """Rows of all files with ``_file``, their position in ``uris``, and
+def _local(uri: str) -> str:
+    """Local files without their scheme, whose slashes Spark and Hadoop write
+    differently; other locations unchanged."""
+    return re.sub(r"\Afile:/+", "/", uri)
+
+
+def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str]) -> DataFrame:
+    """Rows of all files with ``_file``, their position in ``paths``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
     types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
     schema = ", ".join(f"{c} string" for c in MANIFEST_COLUMNS) + ", _corrupt string"
@@ -47,31 +53,38 @@ def _read_files(spark: SparkSession, paths: Sequence[str], uris: Sequence[str])
         .option("columnNameOfCorruptRecord", "_corrupt")
         .csv(list(paths))
     )
-    # An argument may be a folder: a row belongs to the argument its file's
-    # path equals or lies below.
-    at = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/")
-    position = F.coalesce(*[F.when(path_fn.under(at, F.lit(u)), F.lit(i)) for i, u in enumerate(uris)])
+    # An argument may be a folder: a file belongs to the argument it equals or
+    # lies below.
+    positions = {u: i for i, u in enumerate(uris)}
+    placed = []
+    for name in map(_local, raw.inputFiles()):
+        at = name
+        while at not in positions:
+            at = at.rsplit("/", 1)[0]
+        placed.append((name, positions[at]))
+    files = spark.createDataFrame(placed, "_source string, _file int")
+
     typed = {c: F.col(c).try_cast(types[c]) for c in MANIFEST_COLUMNS}
     broken = F.col("_corrupt").isNotNull() | (F.length("hash") > 40)
     for c in MANIFEST_COLUMNS:
         broken = broken | typed[c].isNull()
-    return raw.select(
+    rows = raw.select(
         *[v.alias(c) for c, v in typed.items()],
-        position.alias("_file"),
+        F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/").alias("_source"),
         F.coalesce(broken, F.lit(True)).alias("_broken"),
     )
+    return rows.join(sized(files), "_source").drop("_source")
 
 
 def _existing_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Qualified location of every path that exists, in argument order. Local
-    files drop their scheme, whose slashes Spark and Hadoop write differently."""
+    """Qualified location of every path that exists, in argument order."""
     conf = spark._jsc.hadoopConfiguration()
     found = {}
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
         if fs.exists(path):
-            found[p] = re.sub(r"\Afile:/+", "/", fs.makeQualified(path).toUri().toString())
+            found[p] = _local(fs.makeQualified(path).toUri().toString())
     return found
 
 
@@ -96,7 +109,7 @@ def load_catalog(
         status = skipped.select("path", F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("row_count"))
         return LoadResult(existing if existing is not None else empty, status)
 
-    rows = _read_files(spark, present, list(uris.values()))
+    rows = _read_files(spark, list(uris.values()), present)
     per_path = (
         rows.withColumn("full_path", path_fn.full_path("base_path", "file_path"))
         .groupBy("full_path", "_file")

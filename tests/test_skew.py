@@ -165,3 +165,10 @@ def test_selection_against_brute_force(skewed):
     assert as_set(select_best(scope), "base_path", "file_path", "group_size") == best
     flagged = as_set(select_flagged(scope).where("is_best"), "base_path", "file_path")
     assert flagged == {b[:2] for b in best}
+
+
+def test_descending_mirrors_byte_order(spark):
+    values = ["", "a", "ab", "abc", "b", "B", "é", "z/", "z"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r.v for r in df.orderBy(keyed.descending("v")).collect()]
+    assert got == sorted(values, key=lambda v: v.encode(), reverse=True)

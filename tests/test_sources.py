@@ -114,6 +114,18 @@ def test_load_stops_at_the_first_failing_file(spark, tmp_path):
     assert again.catalog.count() == 3
 
 
+def test_load_takes_folders_and_odd_names(spark, tmp_path):
+    folder = tmp_path / "some scans"
+    (folder / "more").mkdir(parents=True)
+    write(folder / "a b.tsv", [line(1, "a")])
+    write(folder / "c%20d.tsv", [line(2, "b")])
+    single = write(tmp_path / "é.tsv", [line(3, "c"), line(4, "a")])
+    result = load.load_catalog(spark, [str(folder), single])
+    status = {os.path.basename(r.path): (r.status, r.row_count) for r in result.status.collect()}
+    assert status == {"some scans": ("loaded", 2), "é.tsv": ("failed", 2)}
+    assert {r.file_path for r in result.catalog.collect()} == {"a", "b"}
+
+
 @pytest.mark.parametrize(
     "text",
     [
