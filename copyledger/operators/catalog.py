@@ -153,13 +153,12 @@ def mime_filter(df: DataFrame, majors: Iterable[str] = ()) -> DataFrame:
 def write_catalog(catalog: DataFrame, path: str) -> None:
     """Store a snapshot partitioned by base path, time-sorted inside files.
 
-    The extra spread over ``id`` keeps one huge base path from landing in one
-    task, and the sort gives useful time ranges for row-group skipping.
+    Rebalancing gathers a base path in few files of even size; a huge one is
+    split over many tasks. The sort gives useful time ranges for row-group
+    skipping.
     """
-    spread = catalog.withColumn("_spread", F.pmod(F.xxhash64("id"), F.lit(64)))
     (
-        spread.repartition("base_path", "_spread")
-        .drop("_spread")
+        catalog.hint("rebalance", "base_path")
         .sortWithinPartitions("base_path", "last_modified")
         .write.partitionBy("base_path")
         .parquet(path)

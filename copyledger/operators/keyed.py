@@ -21,18 +21,23 @@ MAX_DIMENSION_ROWS = 100_000
 _counted: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most MAX_DIMENSION_ROWS rows. The count stops just
+    past the limit and is made once per DataFrame."""
+    small = _counted.get(df)
+    if small is None:
+        small = df.limit(MAX_DIMENSION_ROWS + 1).count() <= MAX_DIMENSION_ROWS
+        _counted[df] = small
+    return small
+
+
 def sized(dimension: DataFrame) -> DataFrame:
-    """A stored dimension table, hinted for broadcast when it is small.
+    """A stored dimension or a given list, hinted for broadcast when small.
 
-    The count stops just past the limit and is made once per DataFrame. Larger
-    tables are left to a shuffle join, where adaptive execution splits the
-    partition of a dominant key.
+    Larger tables are left to a shuffle join, where adaptive execution splits
+    the partition of a dominant key.
     """
-    small = _counted.get(dimension)
-    if small is None:
-        small = dimension.limit(MAX_DIMENSION_ROWS + 1).count() <= MAX_DIMENSION_ROWS
-        _counted[dimension] = small
-    return F.broadcast(dimension) if small else dimension
+    return F.broadcast(dimension) if is_small(dimension) else dimension
 
 
 def join_on_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
 from copyledger.operators.catalog import GROUP_KEYS, mime_filter
-from copyledger.operators.keyed import descending, join_on_groups
+from copyledger.operators.keyed import descending, join_on_groups, sized
 from copyledger.schema import MANIFEST_COLUMNS
 
 VIEW_KEYS = ["hash", "major_type"]
@@ -184,11 +184,12 @@ def group_listing(df: DataFrame, majors: Iterable[str] = (), drop_unique: bool =
 def expand_targets(targets: DataFrame, inventory: DataFrame) -> DataFrame:
     """Regular files named by ``targets`` (column ``path``): each target itself,
     or every file below it when it is a directory. Matching goes through the
-    directories above each file, so it stays an equi-join."""
+    directories above each file, so it stays an equi-join; the usual short list
+    is broadcast."""
     wanted = targets.select(paths.normalize_path("path").alias("_dir")).distinct()
     listed = inventory.where("is_regular").select(paths.normalize_path("full_path").alias("path"))
     chains = listed.withColumn("_dir", F.explode(paths.ancestors("path")))
-    return join_on_groups(chains, wanted, ["_dir"], "left_semi").select("path").distinct()
+    return join_on_groups(chains, sized(wanted), ["_dir"], "left_semi").select("path").distinct()
 
 
 def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) -> DataFrame:

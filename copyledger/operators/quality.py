@@ -95,7 +95,7 @@ CHECKS = {
     "hashes_not_in_files_view": Check(invisible_rows, ["id"], [True]),
 }
 
-# Checks that only filter catalog rows share one scan in run_checks.
+# Checks that only filter catalog rows.
 ROW_TESTS = {
     "base_or_file_path_slash_issues": has_slash_issue,
     "invalid_hash_format": has_bad_hash,
@@ -112,12 +112,26 @@ def check(catalog: DataFrame, base_paths: DataFrame, name: str) -> DataFrame:
 
 
 def run_checks(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
-    """(check_name, problem_count) of all checks. The row tests are counted in
-    one pass over the catalog."""
-    names = list(ROW_TESTS)
-    counted = catalog.agg(*[F.count_if(ROW_TESTS[n]()).alias(n) for n in names])
-    parts = [counted.unpivot([], names, "check_name", "problem_count")]
-    parts += [check(catalog, base_paths, n) for n in CHECKS if n not in ROW_TESTS]
+    """(check_name, problem_count) of all checks.
+
+    Row tests and base path tests share one pass: counts per base path, of
+    which there are few, are then matched with the registered ones.
+    """
+    known = sized(base_paths).select("base_path", F.lit(True).alias("_known"))
+    per_base = catalog.groupBy("base_path").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(test()).alias(name) for name, test in ROW_TESTS.items()]
+    )
+    unknown = F.col("_known").isNull()
+    counts = {
+        **{name: F.sum(name) for name in ROW_TESTS},
+        "missing_base_paths": F.count_if(unknown),
+        "hashes_not_in_files_view": F.sum(F.when(unknown, F.col("_rows"))),
+    }
+    totals = per_base.join(known, "base_path", "left").agg(
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in counts.items()]
+    )
+    parts = [totals.unpivot([], list(counts), "check_name", "problem_count")]
+    parts += [check(catalog, base_paths, n) for n in CHECKS if n not in counts]
     return reduce(DataFrame.unionByName, parts)
 
 

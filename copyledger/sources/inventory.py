@@ -187,4 +187,4 @@ def write_missing(missing: DataFrame, path: str) -> None:
     that equal last segments do not mix; id and path, tab-separated."""
     label: Column = F.concat_ws("_", paths.base_segment("base_path"), F.substring(F.sha1("base_path"), 1, 8))
     lines = missing.select(F.concat_ws("\t", F.col("id").cast("string"), "full_path"), label.alias("missing_rows"))
-    lines.write.partitionBy("missing_rows").text(path)
+    lines.hint("rebalance", "missing_rows").write.partitionBy("missing_rows").text(path)

@@ -118,7 +118,10 @@ def load_catalog(
     earliest = F.min("_file").over(W.partitionBy("full_path"))
     clash = (F.col("_n") > 1) | (F.col("_file") > F.col("_earliest"))
     if existing is not None:
-        taken = existing.select("full_path", F.lit(True).alias("_taken"))
+        # A small load is broadcast to the catalog instead of shuffling it.
+        arriving = sized(rows.select(path_fn.full_path("base_path", "file_path").alias("full_path")))
+        taken = existing.select("full_path").join(arriving, "full_path", "left_semi")
+        taken = taken.withColumn("_taken", F.lit(True))
         per_path = per_path.join(taken, "full_path", "left")
         clash = clash | F.coalesce(F.col("_taken"), F.lit(False))
     verdicts = (

@@ -92,7 +92,7 @@ def write_split(split: DataFrame, path: str, prefix: str) -> None:
         F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MANIFEST_COLUMNS]).alias("value"),
         name.alias("manifest"),
     )
-    lines.write.partitionBy("manifest").text(path)
+    lines.hint("rebalance", "manifest").write.partitionBy("manifest").text(path)
 
 
 def to_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:

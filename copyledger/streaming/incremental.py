@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from copyledger.functions import times
+from copyledger.operators.keyed import sized
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, as_catalog
 from copyledger.sources.load import assign_ids, next_id
 from copyledger.sources.manifest_io import parse_failfast
@@ -36,7 +37,8 @@ def _append(batch: DataFrame, batch_id: int, catalog_dir: str) -> None:
     else:
         earlier = read_loaded(spark, catalog_dir).where(F.col("batch") < batch_id)
     repeated = rows.groupBy("full_path").count().where("count > 1").select("full_path")
-    taken = rows.select("full_path").join(earlier.select("full_path"), "full_path", "left_semi")
+    # The batch is broadcast when small, so the catalog is scanned, not shuffled.
+    taken = earlier.select("full_path").join(sized(rows.select("full_path")), "full_path", "left_semi")
     clashes = [r["full_path"] for r in repeated.unionByName(taken).limit(5).collect()]
     if clashes:
         raise ValueError(f"full paths already in the catalog: {clashes}")
