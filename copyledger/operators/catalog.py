@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import mime, sizes
-from copyledger.operators.keyed import dense_number, hex_bucket, join_on_groups, rank_in_key, sized, top_per_key
+from copyledger.operators.keyed import dense_number, hex_bucket, join_on_groups, range_number, rank_in_key, sized, top_per_key
 
 GROUP_KEYS = ["hash", "mime_type"]
 RANK_ORDER = ["last_modified", "priority", "id"]
@@ -55,14 +55,20 @@ def copy_groups(ranked_rows: DataFrame, payload: Sequence[str] = ()) -> DataFram
     )
 
 
-def number_groups(groups: DataFrame) -> DataFrame:
-    """Add group_num, the global dense rank by (hash, mime_type)."""
+def number_groups(groups: DataFrame, digests: bool = True) -> DataFrame:
+    """Add group_num, the global dense rank by (hash, mime_type).
+
+    Digests spread evenly over their leading digits. ``digests=False`` numbers
+    hashes of any shape, at the price of writing the groups out once.
+    """
+    if not digests:
+        return range_number(groups, GROUP_KEYS, "group_num")
     return dense_number(groups, hex_bucket("hash"), GROUP_KEYS, "group_num")
 
 
-def group_num(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def group_num(catalog: DataFrame, base_paths: DataFrame, digests: bool = True) -> DataFrame:
     groups = with_base_paths(catalog, base_paths).select(*GROUP_KEYS).distinct()
-    return number_groups(groups)
+    return number_groups(groups, digests)
 
 
 def group_size(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
@@ -86,16 +92,24 @@ def primary_ids(visible: DataFrame) -> DataFrame:
     return copy_groups(visible).select(F.col("primary.id").alias("id"))
 
 
-def files(catalog: DataFrame, base_paths: DataFrame, categories: DataFrame, with_group_num: bool = True) -> DataFrame:
+def files(
+    catalog: DataFrame,
+    base_paths: DataFrame,
+    categories: DataFrame,
+    with_group_num: bool = True,
+    digests: bool = True,
+) -> DataFrame:
     """Every visible row with its category and disposition.
 
     ``with_group_num=False`` skips the global numbering; reports that do not
-    show it should ask for that.
+    show it should ask for that. For ``digests`` see :func:`number_groups`.
     """
     visible = with_base_paths(catalog, base_paths)
     rows = with_categories(visible, categories)
     if with_group_num:
-        groups = number_groups(copy_groups(visible).select(*GROUP_KEYS, F.col("primary.id").alias("_primary_id")))
+        groups = number_groups(
+            copy_groups(visible).select(*GROUP_KEYS, F.col("primary.id").alias("_primary_id")), digests
+        )
         ranked = join_on_groups(rows, groups, GROUP_KEYS).withColumn(
             "disposition", disposition(F.col("id") == F.col("_primary_id"))
         )

@@ -77,8 +77,9 @@ def dense_number(df: DataFrame, bucket: Column, order: Sequence[ColumnLike], nam
     """Number rows 'start', 'start'+1, ... in (bucket, order) order without a
     global sort: rank inside each bucket plus the bucket's starting offset.
 
-    ``bucket`` must be order-preserving and of bounded cardinality: the offset
-    table has one row per bucket and is broadcast.
+    ``bucket`` must be order-preserving, even, and of bounded cardinality: the
+    offset table has one row per bucket and is broadcast. Where values crowd
+    into few buckets, :func:`range_number` gives the same numbers.
     """
     local = df.withColumn("_bucket", bucket).withColumn(
         "_rank", F.row_number().over(W.partitionBy("_bucket").orderBy(*[as_col(c) for c in order]))
@@ -95,6 +96,32 @@ def dense_number(df: DataFrame, bucket: Column, order: Sequence[ColumnLike], nam
     )
 
 
+def _settle(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows sorted by ``order`` over many tasks, with their position ``_pos``,
+    rising inside each ``_range``; ranges follow the order too. Written out once,
+    as a second evaluation could draw other range borders."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_pos", 33))
+        .checkpoint()
+    )
+
+
+def range_number(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
+    """Number rows 'start', 'start'+1, ... by ``order``, which must end unique,
+    however the values are distributed. Costs one write of ``df``."""
+    placed = _settle(df, order)
+    ranges = placed.groupBy("_range").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = placed.join(F.broadcast(offsets), "_range")
+    position = F.col("_pos") - F.col("_first") + F.col("_before")
+    return numbered.withColumn(name, position + F.lit(start)).drop("_pos", "_range", "_first", "_before")
+
+
 def descending(text: ColumnLike) -> Column:
     """Text that sorts ascending where the input sorts descending (by bytes).
 
@@ -141,16 +168,7 @@ def rank_in_key(
     marked = df.join(F.broadcast(marks), keys, "left")
     cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, plain)
 
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = (
-        marked.where("_hot")
-        .drop("_hot")
-        .repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_range", F.shiftright("_pos", 33))
-        .checkpoint()
-    )
+    placed = _settle(marked.where("_hot").drop("_hot"), [*keys, *order])
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     runs = (
         placed.groupBy(*keys, "_range")

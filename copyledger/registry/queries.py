@@ -902,9 +902,13 @@ def files_unnumbered(spark, sf):
     return cat_ops.files(*_full_args(spark, sf), with_group_num=False)
 
 
-@query("oldest_and_vault_pick", "oldest pick", "SELECT * FROM oldest LEFT JOIN pick USING (hash, mime_type)")
+@query("oldest_and_vault_pick", "oldest pick", """
+    SELECT * REPLACE (coalesce(vault_id, 0) AS vault_id, coalesce(vault_priority, 0) AS vault_priority)
+    FROM oldest LEFT JOIN pick USING (hash, mime_type)""")
 def oldest_and_vault_pick(spark, sf):
-    return vault.oldest_and_vault_pick(*_catalog_args(spark, sf))
+    """Numbers of absent vault copies read 0, so that they stay integers."""
+    picks = vault.oldest_and_vault_pick(*_catalog_args(spark, sf))
+    return picks.fillna(0, ["vault_id", "vault_priority"])
 
 
 @query("manifest_select_best", "best", "SELECT * FROM best")

@@ -9,6 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Session settings the operators are written for.
+
+    Adaptive execution splits hot partitions and merges small ones, so with
+    ``input_bytes`` the shuffle starts from partitions that fit in memory
+    (between 200 and 50,000) and shrinks where little data arrives.
+    """
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        # join_on_groups relies on joins being shuffled on all of their keys.
+        "spark.sql.requireAllClusterKeysForCoPartition": "true",
+    }
+    if input_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(min(max(input_bytes // PARTITION_BYTES, 200), 50_000))
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and exchange files.
 

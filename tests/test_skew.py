@@ -66,6 +66,8 @@ def test_files_equals_window_form(skewed, bases, spark):
     expected = {(i, g, "primary" if rn == 1 else "redundant") for i, rn, n, g in as_set(
         windowed(skewed, bases), "id", "rn", "n", "g")}
     assert as_set(c.files(skewed, bases, mc), "id", "group_num", "disposition") == expected
+    any_shape = c.files(skewed, bases, mc, digests=False)
+    assert as_set(any_shape, "id", "group_num", "disposition") == expected
     plain = as_set(c.files(skewed, bases, mc, with_group_num=False), "id", "disposition")
     assert plain == {(i, d) for i, _, d in expected}
     assert as_set(c.files_primary(skewed, bases, mc), "id") == {(i,) for i, d in plain if d == "primary"}
@@ -120,6 +122,8 @@ def test_dense_number(spark, start):
     df = spark.createDataFrame([(v,) for v in values], "h string").repartition(7)
     got = {r["h"]: r["n"] for r in keyed.dense_number(df, keyed.hex_bucket("h"), ["h"], "n", start).collect()}
     assert got == {v: i + start for i, v in enumerate(sorted(values, key=lambda v: v.encode()))}
+    ranged = {r["h"]: r["n"] for r in keyed.range_number(df, ["h"], "n", start).collect()}
+    assert ranged == got
 
 
 def test_large_dimension_is_not_broadcast(spark, monkeypatch):

@@ -281,3 +281,21 @@ def test_read_categories(spark, tmp_path):
     assert {tuple(r) for r in categories.read_categories(spark, path).collect()} == {("image/png", "image"), ("text/x", "text")}
     seeded = categories.seed_categories(spark.createDataFrame([("image/png",), ("foo",)], "mime_type string"))
     assert [tuple(r) for r in seeded.collect()] == [("image/png", "image")]
+
+
+def test_session_settings(spark):
+    from copyledger.session import configure, shared_dir
+
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        configure(spark, 10**14)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50000"
+        configure(spark, 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_dir(spark) == named
