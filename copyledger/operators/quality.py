@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths, validity
 from copyledger.operators.keyed import sized
+from copyledger.session import existing_paths
+from copyledger.sources.manifest_io import read_lines
 
 
 def has_slash_issue() -> Column:
@@ -174,3 +176,13 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         )
     )
     return lines.select("source", "line_no", F.explode(errors).alias("_e")).select("source", "line_no", "_e.*")
+
+
+def validate_manifest(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """:func:`validate_lines` of manifest files; an absent file is one error."""
+    present = existing_paths(spark, names)
+    absent = [(n, None, "no_such_file", None) for n in names if n not in present]
+    errors = spark.createDataFrame(absent, "source string, line_no bigint, error string, found string")
+    if present:
+        errors = validate_lines(read_lines(spark, list(present))).unionByName(errors)
+    return errors

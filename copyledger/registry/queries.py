@@ -294,13 +294,14 @@ def result_tsv(spark, sf):
     return spark.read.schema("hash string, mime_type string, other_full_path string").csv(out, sep="\t")
 
 
-@query("catalog_reset")
+@query("catalog_reset", "cat", """
+    SELECT 1000000 + row_number() OVER (ORDER BY sha1(full_path), full_path) AS id, full_path FROM cat""")
 def catalog_reset(spark, sf):
-    """The catalog's schema without its rows, read back from storage."""
+    """Ids of the first load after a reset."""
     out = scratch_path(spark, "reset")
-    tables.catalog(spark, sf).write.parquet(out)
     load.reset_catalog(spark, out)
-    return spark.read.parquet(out)
+    start = load.next_id(spark.read.parquet(out))
+    return load.assign_ids(tables.catalog(spark, sf).select("full_path"), start).select("id", "full_path")
 
 
 # --- derived columns -----------------------------------------------------

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,21 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) ->
     """A few constant rows as an inline table, whose size Spark knows."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def without_file_scheme(uri: str) -> str:
+    """Local files without their scheme, whose slashes Spark and Hadoop write
+    differently; other locations unchanged."""
+    return re.sub(r"\Afile:/+", "/", uri)
+
+
+def existing_paths(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Qualified location of every path that exists, in argument order."""
+    conf = spark._jsc.hadoopConfiguration()
+    found = {}
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            found[p] = without_file_scheme(fs.makeQualified(path).toUri().toString())
+    return found

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths as path_fn
 from copyledger.operators.keyed import dense_number, sized
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, MANIFEST_COLUMNS, as_catalog
+from copyledger.session import existing_paths, without_file_scheme
 
 
 class LoadResult(NamedTuple):
@@ -33,61 +33,55 @@ def next_id(catalog: DataFrame) -> int:
     return catalog.agg(F.coalesce(F.max("id") + 1, F.lit(FIRST_ID)).alias("n")).first()["n"]
 
 
-def _local(uri: str) -> str:
-    """Local files without their scheme, whose slashes Spark and Hadoop write
-    differently; other locations unchanged."""
-    return re.sub(r"\Afile:/+", "/", uri)
+def csv_fields(line: Column) -> Column:
+    """Fields of a tab-delimited CSV line; null when a quote is left open.
+
+    A quote opens or closes quoting anywhere in a field, and a doubled quote
+    inside quotes stands for one. An unquoted empty field is null, a quoted
+    one is ''. Lines without quotes, nearly all, are simply split.
+    """
+    quoted = F.regexp_extract_all(
+        F.concat(line, F.lit("\t")), F.lit(r'((?:[^\t"]|"(?:[^"]|"")*+")*+)\t'), F.lit(1)
+    )
+
+    def unquote(field: Column) -> Column:
+        inner = F.regexp_replace(field, r'"((?:[^"]|"")*+)"', "$1")
+        return F.when(field != "", F.replace(inner, F.lit('""'), F.lit('"')))
+
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    plain = F.transform(F.split(line, "\t", -1), lambda f: F.when(f != "", f))
+    return F.when(quotes == 0, plain).when(quotes % 2 == 0, F.transform(quoted, unquote))
 
 
 def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str]) -> DataFrame:
     """Rows of all files with ``_file``, their position in ``paths``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
     types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
-    schema = ", ".join(f"{c} string" for c in MANIFEST_COLUMNS) + ", _corrupt string"
-    raw = (
-        spark.read.schema(schema)
-        .option("sep", "\t")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .csv(list(paths))
-    )
+    lines = spark.read.text(list(paths))
     # An argument may be a folder: a file belongs to the argument it equals or
     # lies below.
     positions = {u: i for i, u in enumerate(uris)}
     placed = []
-    for name in map(_local, raw.inputFiles()):
+    for name in map(without_file_scheme, lines.inputFiles()):
         at = name
         while at not in positions:
             at = at.rsplit("/", 1)[0]
         placed.append((name, positions[at]))
     files = spark.createDataFrame(placed, "_source string, _file int")
 
-    typed = {c: F.col(c).try_cast(types[c]) for c in MANIFEST_COLUMNS}
-    broken = F.col("_corrupt").isNotNull() | (F.length("hash") > 40)
+    source = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/")
+    raw = lines.select(source.alias("_source"), csv_fields(F.col("value")).alias("_f"))
+    text = {c: F.get("_f", F.lit(i)) for i, c in enumerate(MANIFEST_COLUMNS)}
+    typed = {c: text[c].try_cast(types[c]) for c in MANIFEST_COLUMNS}
+    broken = (F.size("_f") != len(MANIFEST_COLUMNS)) | (F.length(text["hash"]) > 40)
     for c in MANIFEST_COLUMNS:
         broken = broken | typed[c].isNull()
     rows = raw.select(
-        *[v.alias(c) for c, v in typed.items()],
-        F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/").alias("_source"),
-        F.coalesce(broken, F.lit(True)).alias("_broken"),
+        *[v.alias(c) for c, v in typed.items()], "_source", F.coalesce(broken, F.lit(True)).alias("_broken")
     )
     return rows.join(sized(files), "_source").drop("_source")
 
 
-def _existing_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Qualified location of every path that exists, in argument order."""
-    conf = spark._jsc.hadoopConfiguration()
-    found = {}
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            found[p] = _local(fs.makeQualified(path).toUri().toString())
-    return found
-
-
 def load_catalog(
     spark: SparkSession, paths: Sequence[str], existing: DataFrame | None = None, start: int | None = None
 ) -> LoadResult:
@@ -97,7 +91,7 @@ def load_catalog(
     field or a full path that is already taken fails as a whole and ends the
     load; files before it stay loaded, later ones are not reached.
     """
-    uris = _existing_files(spark, paths)
+    uris = existing_paths(spark, paths)
     present = list(uris)
     absent = [p for p in paths if p not in uris]
     status_schema = "position int, path string"

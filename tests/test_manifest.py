@@ -271,3 +271,13 @@ def test_validate_lines(spark):
     df = spark.createDataFrame([("m", i + 1, v) for i, v in enumerate(lines)], "source string, line_no bigint, value string")
     got = {(r.line_no, r.error, r.found) for r in quality.validate_lines(df).collect()}
     assert got == {(2, "invalid_hash", good[:39]), (2, "invalid_size", " 5"), (3, "column_count", "2"), (4, "column_count", "7")}
+
+
+def test_validate_manifest_files(spark, tmp_path):
+    good = "a" * 40
+    path = tmp_path / "m.tsv"
+    path.write_text("\t".join([good, "", "1", "", "", ""]) + "\n" + "x\n")
+    absent = str(tmp_path / "none.tsv")
+    got = {(r.source.rsplit("/", 1)[1], r.line_no, r.error) for r in quality.validate_manifest(spark, [str(path), absent]).collect()}
+    assert got == {("m.tsv", 2, "column_count"), ("none.tsv", None, "no_such_file")}
+    assert quality.validate_manifest(spark, [absent]).count() == 1

@@ -20,29 +20,29 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_sql(spark, sf, con, name):
-    got = QUERIES[name](spark, sf).toPandas()
-    expected = con.execute(ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(expected.columns)
-    assert canonical(got) == canonical(expected)
-
-
-def test_entry_and_queries_without_sql(spark, sf):
-    assert entry.entry(spark).count() == 4
-    assert set(QUERIES) - set(ORACLES) == {"catalog_reset"}
-    reset = QUERIES["catalog_reset"](spark, sf)
-    assert reset.count() == 0 and "full_path" in reset.columns
-
-
-# One task may only see what an aggregate or a limit left over.
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_catalog_rows_in_one_task_and_no_python(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+def check_plan(df):
+    """No cross join, no Python, and one task only sees what an aggregate or a
+    limit left over."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan and "Pandas" not in plan
     lines = plan.splitlines()
     for i, text in enumerate(lines):
         if "Exchange SinglePartition" in text:
             below = lines[i + 1]
-            assert "Aggregate" in below or "LocalLimit" in below or "TakeOrdered" in below, (name, below)
+            assert "Aggregate" in below or "LocalLimit" in below or "TakeOrdered" in below, below
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, sf, con, name):
+    df = QUERIES[name](spark, sf)
+    check_plan(df)
+    got, expected = df.toPandas(), con.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert len(got) > 0 or name.startswith("audio")
+    assert canonical(got) == canonical(expected)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 4
+    assert set(QUERIES) == set(ORACLES)

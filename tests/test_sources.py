@@ -49,8 +49,11 @@ def test_quotes_are_written_raw_and_misread_by_the_load(spark, tmp_path):
     back = str(tmp_path / "back")
     manifest_io.write_manifest(manifest_io.read_manifest(spark, path), back)
     assert sorted(r.value for r in spark.read.text(back).collect()) == sorted([line(1, 'a"b'), line(2, '"c"')])
-    loaded = load.load_catalog(spark, [path]).catalog
-    assert {r.file_path for r in loaded.collect()} == {'a"b', "c"}
+    # the open quote fails the load; quotes that close are dropped
+    assert [r.status for r in load.load_catalog(spark, [path]).status.collect()] == ["failed"]
+    closed = write(tmp_path / "c.tsv", [line(2, '"c"'), line(3, 'd"e"f')])
+    loaded = load.load_catalog(spark, [closed]).catalog
+    assert {r.file_path for r in loaded.collect()} == {"c", "def"}
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
@@ -89,6 +92,17 @@ def test_to_tsv_is_unquoted(spark, tmp_path):
 # --- loads ---------------------------------------------------------------
 
 
+def test_csv_fields(spark):
+    cases = {
+        "a\tb": ["a", "b"], "a\t": ["a", None], "": [None], '""\tb': ["", "b"], '"a\tb"\tc': ["a\tb", "c"],
+        '"a""b"': ['a"b'], 'a""b': ["ab"], '""""': ['"'], '"x"y"z"\t': ["xyz", None], '"a': None, 'a"b\tc': None,
+        'p"q""r"\t"s"': ['pq"r', "s"],
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    got = {r.v: r.f for r in df.select("v", load.csv_fields(F.col("v")).alias("f")).collect()}
+    assert got == cases
+
+
 def test_load_stops_at_the_first_failing_file(spark, tmp_path):
     first = write(tmp_path / "1.tsv", [line(1, "a"), line(2, "B/x.TXT")])
     second = write(tmp_path / "2.tsv", [line(3, "c")])
@@ -130,7 +144,7 @@ def test_load_takes_folders_and_odd_names(spark, tmp_path):
     "text",
     [
         line(1, "a", size=""), line(1, "a", when="yesterday"), line(1, "a", size="1.5"), line(1, ""), "x\ty",
-        line(1, "a") + "\textra", line(11, "a"),
+        line(1, "a") + "\textra", line(11, "a"), "", line(1, '"a'),
     ],
 )
 def test_malformed_rows_fail_the_file(spark, tmp_path, text):
