@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -51,6 +52,20 @@ def major_type(mime: ColumnLike, report: bool = False) -> Column:
     return F.when(m.isNull() | m.rlike(r"\A\s*\z"), F.lit("")).otherwise(cut)
 
 
+def has_major(mime: ColumnLike, majors: Iterable[str]) -> Column:
+    """Whether :func:`major_type` is one of ``majors``. Plain majors become
+    equality and prefix tests, which file scans can evaluate on statistics."""
+    m, wanted = as_col(mime), list(majors)
+    plain = [x for x in wanted if x.strip() and "/" not in x]
+    test = F.lit(False)
+    for x in plain:
+        test = test | (m == x) | F.startswith(m, F.lit(f"{x}/"))
+    other = [x for x in wanted if x not in plain]
+    if other:
+        test = test | major_type(m).isin(other)
+    return F.coalesce(test, F.lit(False)) if other else test
+
+
 def is_image(mime: ColumnLike) -> Column:
     return F.coalesce(F.lower(as_col(mime)).startswith("image/"), F.lit(False))
 

@@ -161,7 +161,7 @@ def media_view(
 def mime_filter(df: DataFrame, majors: Iterable[str] = ()) -> DataFrame:
     """Keep rows whose major type is in ``majors``; an empty set keeps all."""
     majors = list(majors)
-    return df.where(mime.major_type("mime_type").isin(majors)) if majors else df
+    return df.where(mime.has_major("mime_type", majors)) if majors else df
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

@@ -46,7 +46,7 @@ def purge_split(reference: DataFrame, target: DataFrame, majors: Iterable[str] =
     majors = list(majors)
     flags = reference_keys(reference).withColumn("_in_reference", F.lit(True))
     marked = join_on_groups(target, flags, GROUP_KEYS, "left")
-    passes = mime.major_type("mime_type").isin(majors) if majors else F.lit(True)
+    passes = mime.has_major("mime_type", majors) if majors else F.lit(True)
     matched = F.coalesce(F.col("_in_reference") & passes, F.lit(False))
     return marked.select(*target.columns, matched.alias("matched"))
 

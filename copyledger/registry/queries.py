@@ -480,7 +480,7 @@ def vault_guard(spark, sf):
            c.mime_type, {sql.si1_trunc('c.file_size')} AS size_text,
            strftime(c.last_modified, '%Y-%m-%d %H:%M:%S') AS modified, c.full_path
     FROM req LEFT JOIN cat c ON c.id = TRY_CAST(requested AS BIGINT)
-             LEFT JOIN inv i ON i.full_path = c.full_path AND i.is_regular""".replace("WITH req AS", ", req AS", 1))
+             LEFT JOIN inv i ON i.full_path = c.full_path AND i.is_regular""")
 def lookup_by_id(spark, sf):
     e = tables.events(spark, sf)
     user = F.col("user_id")
@@ -888,6 +888,18 @@ def rank_in_group(spark, sf):
     return cat_ops.rank_in_group(*_catalog_args(spark, sf)).select("id", "hash", "mime_type", "rn")
 
 
+@query("rank_in_group_split", "ranked", "SELECT id, hash, mime_type, rn FROM ranked")
+def rank_in_group_split(spark, sf):
+    """The way taken for large groups, here for every group of five or more."""
+    ranked = cat_ops.rank_in_group(*_catalog_args(spark, sf), hot_rows=5)
+    return ranked.select("id", "hash", "mime_type", "rn")
+
+
+@query("group_num_any_shape", "ranked", "SELECT DISTINCT hash, mime_type, group_num FROM ranked")
+def group_num_any_shape(spark, sf):
+    return cat_ops.group_num(*_catalog_args(spark, sf), digests=False)
+
+
 @query("group_size", "ranked", "SELECT id, hash, mime_type, grp_size FROM ranked")
 def group_size(spark, sf):
     return cat_ops.group_size(*_catalog_args(spark, sf)).select("id", "hash", "mime_type", "grp_size")
@@ -1040,7 +1052,7 @@ def prune_plan(spark, sf):
            CASE WHEN t.dest_path IS NULL THEN 'to-copy' WHEN t.file_size <> p.file_size THEN 'size-mismatch'
                 WHEN t.last_modified <> p.last_modified THEN 'timestamp-mismatch' ELSE 'verified' END AS status,
            count(*) OVER (PARTITION BY p.dest_path) > 1 AS collides
-    FROM planned p LEFT JOIN there t USING (dest_path)""".replace("WITH planned AS", ", planned AS", 1))
+    FROM planned p LEFT JOIN there t USING (dest_path)""")
 def copy_plan(spark, sf):
     inv = tables.inventory(spark, sf)
     there = inv.withColumn("full_path", F.concat(F.lit("/dest/"), paths.file_name("full_path")))

@@ -72,6 +72,13 @@ def test_major_type(apply):
     assert apply(lambda c: mime.major_type(c, report=True), ["/x", "foo", "a/b"]) == ["", "foo", "a"]
 
 
+def test_has_major_equals_major_type(apply):
+    values = ["image/png", "image", "images/x", "/image", "Image/x", "", " ", None, "/x", "a/b", "text/plain"]
+    for majors in (["image"], ["image", "text"], [""], ["/x", "a"], ["image", ""]):
+        expected = [m in majors for m in apply(mime.major_type, values)]
+        assert [bool(v) for v in apply(lambda c: mime.has_major(c, majors), values)] == expected
+
+
 def test_mime_rules(apply):
     assert apply(mime.is_image, ["IMAGE/x", "images/x", None]) == [True, False, False]
     assert apply(mime.sanitize_mime, ["image/svg+xml", "a--b"]) == ["image_svg_xml", "a_b"]

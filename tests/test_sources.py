@@ -268,6 +268,21 @@ def test_stored_catalog_prunes_base_paths(spark, sf, tmp_path, final_plan):
     assert one.count() == tables.catalog(spark, sf).where("base_path = '/vol/v3'").count()
 
 
+def test_filters_reach_the_scan(spark, sf, tmp_path, final_plan):
+    from copyledger.plans import reports
+    from copyledger.registry import tables
+
+    out = str(tmp_path / "flat")
+    tables.catalog(spark, sf).write.parquet(out)
+    stored, bases = spark.read.parquet(out), tables.base_paths(spark)
+    plan = final_plan(cat_ops.mime_filter(stored, ["image"]))
+    assert "StringStartsWith(mime_type,image/)" in plan
+    plan = final_plan(reports.path_prefix_filter(stored, bases, "/vol/v3/p"))
+    assert "StringStartsWith(full_path,/vol/v3/p)" in plan
+    plan = final_plan(reports.mime_duplication_summary(stored, bases))
+    assert "file_path" not in plan and "full_path" not in plan and plan.count("FileScan") == 1
+
+
 # --- instruction files ---------------------------------------------------
 
 
