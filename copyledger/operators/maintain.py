@@ -53,9 +53,17 @@ def delete_by_path(catalog: DataFrame, paths: DataFrame) -> DataFrame:
 
 def update_timestamps(catalog: DataFrame, fixes: DataFrame) -> DataFrame:
     """New snapshot with ``last_modified`` replaced for the ids in ``fixes``
-    (vault_id, primary_last_modified, line_no); the last line of an id wins."""
-    last = fixes.groupBy(F.col("vault_id").alias("id")).agg(
-        F.max_by("primary_last_modified", "line_no").alias("_new")
+    (vault_id, primary_last_modified, line_no); the last line of an id wins.
+
+    Pass the instructions that apply (see ``ts_fix_plan``). One without a valid
+    time aborts the update as a whole.
+    """
+    invalid = F.raise_error(F.concat(F.lit("invalid timestamp for id "), F.col("vault_id").cast("string")))
+    checked = F.coalesce("primary_last_modified", invalid.cast("timestamp_ntz"))
+    last = (
+        fixes.select(F.col("vault_id").alias("id"), checked.alias("_time"), "line_no")
+        .groupBy("id")
+        .agg(F.max_by("_time", "line_no").alias("_new"))
     )
     merged = catalog.join(last, "id", "left").withColumn("last_modified", F.coalesce("_new", "last_modified"))
     return merged.select(*catalog.columns)

@@ -195,6 +195,7 @@ def expand_targets(targets: DataFrame, inventory: DataFrame) -> DataFrame:
 def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) -> DataFrame:
     """Removal log: every row of the groups the target files belong to, with
     status delete or not_found, plus no_meta for targets the manifest lacks.
+    Directories among the targets go through :func:`expand_targets` first.
 
     Two manifest rows with the same normalized path are an error.
     """

@@ -214,6 +214,12 @@ def test_updates_last_line_wins(spark, small_catalog):
     assert len(updated) == 8 and (updated[1], updated[2], updated[3]) == ("2021", "2022", "2024")
 
 
+def test_updates_abort_on_an_invalid_time(spark, small_catalog):
+    fixes = spark.createDataFrame([(1, 1, None)], "line_no bigint, vault_id bigint, primary_last_modified timestamp_ntz")
+    with pytest.raises(Exception, match="invalid timestamp for id 1"):
+        maintain.update_timestamps(small_catalog, fixes).collect()
+
+
 def test_ts_fix_plan_force(spark, inv):
     fixes = spark.createDataFrame([(1, "/a"), (2, "/b")], "vault_id bigint, vault_full_path string")
     live = inv(("/a", True, True, 1, "2024-01-01 00:00:00", ""))

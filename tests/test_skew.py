@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyledger.operators import catalog as c
-from copyledger.operators import keyed, vault
+from copyledger.operators import keyed, manifest, vault
 from copyledger.operators.manifest import select_best, select_flagged
 from copyledger.schema import BASE_PATHS_SCHEMA, as_catalog
 
@@ -79,25 +79,56 @@ def test_group_size(skewed, bases):
     assert as_set(c.group_size(skewed, bases), "id", "grp_size") == expected
 
 
-def test_hot_group_join_is_split(spark, skewed, bases, final_plan):
+@pytest.fixture
+def tight(spark):
+    """Thresholds under which a few hundred rows already count as skew."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        spread = skewed.repartition(8, "id")
-        mc = spark.createDataFrame([("image/png", "image")], "mime_type string, category string")
-        assert "SortMergeJoin(skew=true)" in final_plan(c.files(spread, bases, mc))
-        assert "SortMergeJoin(skew=true)" in final_plan(c.group_size(spread, bases))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_group_joins_are_split(spark, tight, skewed, bases, final_plan):
+    spread = skewed.repartition(8, "id")
+    mc = spark.createDataFrame([("image/png", "image")], "mime_type string, category string")
+    half = spread.where("id % 2 = 0")
+    for df in (
+        c.files(spread, bases, mc),
+        c.group_size(spread, bases),
+        manifest.intersect(spread, half),
+        manifest.purge_split(half, spread),
+        select_flagged(spread),
+        manifest.group_listing(spread),
+        vault.vault_dupes(spread, bases, "/v1"),
+    ):
+        assert "SortMergeJoin(skew=true)" in final_plan(df)
+
+
+def test_large_base_path_table_is_joined_by_shuffle(spark, tight, skewed, bases, final_plan, monkeypatch):
+    """One base path holds half of the rows and the table is too long to broadcast."""
+    expected = as_set(c.with_base_paths(skewed, bases), "id", "priority")
+    monkeypatch.setattr(keyed, "MAX_DIMENSION_ROWS", 1)
+    many = bases.unionByName(
+        spark.range(100).select(
+            F.concat(F.lit("/other"), F.col("id")).alias("base_path"),
+            (F.col("id") + 1000).cast("int").alias("priority"),
+            F.lit(False).alias("is_vault"),
+        )
+    )
+    hot = skewed.repartition(8, "id")
+    joined = c.with_base_paths(hot, many)
+    plan = final_plan(joined)
+    assert "SortMergeJoin(skew=true)" in plan and "BroadcastHashJoin" not in plan
+    assert as_set(joined, "id", "priority") == expected
 
 
 def test_primaries_are_limited_before_the_shuffle(skewed, bases, spark, final_plan):
