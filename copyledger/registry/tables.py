@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import times
 from copyledger.schema import BASE_PATHS_SCHEMA, MANIFEST_COLUMNS, as_catalog
+from copyledger.session import literal_table
 from copyledger.sources.categories import default_categories
 
 REGISTERED = [
@@ -19,8 +20,16 @@ REGISTERED = [
 VAULT = "/vol/v0"
 
 
+# Given explicitly, so that no job has to read file footers first.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +64,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_paths(spark: SparkSession) -> DataFrame:
     """``/vol/v5`` stays unregistered."""
-    return spark.createDataFrame(REGISTERED, BASE_PATHS_SCHEMA)
+    return literal_table(spark, REGISTERED, BASE_PATHS_SCHEMA.names)
 
 
 def categories(spark: SparkSession) -> DataFrame:
@@ -113,7 +122,7 @@ def faulty_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faulty_base_paths(spark: SparkSession) -> DataFrame:
     """Adds a registered vault that holds no file."""
-    return spark.createDataFrame([*REGISTERED, ("/vol/v9", 60, True)], BASE_PATHS_SCHEMA)
+    return literal_table(spark, [*REGISTERED, ("/vol/v9", 60, True)], BASE_PATHS_SCHEMA.names)
 
 
 def manifest_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,9 +62,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
-    """A few constant rows as an inline table, whose size Spark knows."""
+    """A few constant rows as an inline table of one partition."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def without_file_scheme(uri: str) -> str:
