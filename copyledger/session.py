@@ -40,13 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and exchange files.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where nothing is
-    configured (single-process tests) a fresh temporary folder is used.
+    configured and the session is local (tests) a fresh temporary folder is
+    used; elsewhere that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="copyledger-"))
     return sc.getCheckpointDir()
 
