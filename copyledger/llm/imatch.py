@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from copyledger.llm.common import read_table, settled
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
+# Slots of the broadcast lexicon; a slot holds a few terms.
+SLOTS = 65_536
 # Subset 0 is the whole lexicon; the others keep a quarter down to a 256th, so
-# that for short and long texts some hold a term or two.
-SUBSETS = 32
-_KEPT = [1] + [2 ** (2 + r % 7) for r in range(1, SUBSETS)]
+# that for short and long texts some hold a term or two. A term belongs to a
+# subset if these bits of its two further hashes are all zero.
+SUBSETS = 16
+_BITS = [0] + [2 + r % 7 for r in range(1, SUBSETS)]
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -25,32 +28,58 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term, mask): terms in at least ``least`` and at most ``most`` of all rows of
-    ``docs`` (text), and as bits the randomised subsets each belongs to.
+    """(term): terms in at least ``least`` and at most ``most`` of all rows of
+    ``docs`` (text).
 
     It never has more than (distinct terms of an average document) / ``least``
     rows, whatever the number of documents: each takes up that share of them.
     """
     total = docs.count()
-    frequencies = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    mask = F.lit(0).cast("long")
-    for r in range(SUBSETS):
-        chosen = F.pmod(F.xxhash64(F.lit(r), "term"), F.lit(_KEPT[r])) == 0
-        mask = mask + F.when(chosen, F.lit(2**r)).otherwise(F.lit(0))
-    band = frequencies.where((F.col("df") >= least * total) & (F.col("df") <= max(most * total, 1)))
-    return band.select("term", mask.alias("mask"))
+    terms = docs.select(F.explode(term_hashes(F.col("text"))).alias("term"))
+    frequencies = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return frequencies.where((F.col("df") >= least * total) & (F.col("df") <= max(most * total, 1))).select("term")
+
+
+def lexicon_slots(terms: DataFrame) -> DataFrame:
+    """One row with the lexicon as an array of SLOTS arrays: a term lies in the slot
+    of its remainder, so that looking one up does not search the lexicon."""
+    filled = terms.groupBy(F.pmod("term", F.lit(SLOTS)).alias("slot")).agg(F.collect_list("term").alias("terms"))
+    every = terms.sparkSession.range(SLOTS).select(F.col("id").alias("slot"))
+    none = F.array().cast("array<bigint>")
+    rows = every.join(filled, "slot", "left").select("slot", F.coalesce("terms", none).alias("terms"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "terms")))
+    return rows.agg(F.transform(ordered, lambda s: s["terms"]).alias("slots"))
+
+
+def band_terms(text: Column, slots: Column) -> Column:
+    """Sorted distinct terms of ``text`` that are in the lexicon."""
+
+    def known(term: Column) -> Column:
+        return F.array_contains(F.get(slots, F.pmod(term, F.lit(SLOTS)).cast("int")), term)
+
+    return F.sort_array(F.filter(term_hashes(text), known))
 
 
 def subset_hashes(terms: Column) -> Column:
-    """One hash per subset over the sorted terms (struct term, mask) in it; '-' for none."""
-    chosen = F.transform(
-        F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-        lambda r: F.filter(terms, lambda t: F.getbit(t["mask"], r) == 1),
+    """One hash per subset over its sorted terms; '-' for none."""
+    draws = F.transform(
+        terms,
+        lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(1)).alias("x"), F.xxhash64(t, F.lit(2)).alias("y")),
     )
-    digits = lambda s: F.lower(F.substring(F.lpad(F.hex(F.xxhash64(F.transform(s, lambda t: t["term"]))), 16, "0"), 1, 8))
-    return F.transform(chosen, lambda s: F.when(F.size(s) == 0, F.lit("-")).otherwise(digits(s)))
+
+    def digits(chosen: Column) -> Column:
+        wide = F.lpad(F.hex(F.xxhash64(F.transform(chosen, lambda s: s["t"]))), 16, "0")
+        return F.when(F.size(chosen) == 0, F.lit("-")).otherwise(F.lower(F.substring(wide, 1, 8)))
+
+    def zero(name: str, mask: int):
+        return lambda s: s[name].bitwiseAND(F.lit(mask)) == 0
+
+    subsets, used = [draws], {"x": 0, "y": 0}
+    for bits in _BITS[1:]:
+        name = "x" if used["x"] + bits <= 62 else "y"
+        subsets.append(F.filter(F.col("_draws"), zero(name, (2**bits - 1) << used[name])))
+        used[name] += bits
+    return draws, F.transform(F.array(F.col("_draws"), *subsets[1:]), digits)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,22 +133,12 @@ def ring(rows: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], terms: DataFrame) -> DataFrame:
-    """``keys`` and, for each text column, an array column of the same name plus
-    ``_fp``: its subset hashes under the lexicon ``terms``. Rows are grouped by
-    ``keys`` without a shuffle where they are dealt by them already."""
-    def tagged(text: str, which: int) -> Column:
-        return F.transform(term_hashes(F.col(text)), lambda t: F.struct(F.lit(which).alias("which"), t.alias("term")))
-
-    listed = [tagged(c, i) for i, c in enumerate(texts)]
-    present = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("long").alias("term")))
-    exploded = rows.select(*keys, F.explode(F.concat(present, *listed)).alias("e")).select(*keys, "e.which", "e.term")
-    found = exploded.join(F.broadcast(terms), "term", "left").where("mask is not null or which = -1")
-    sets = [
-        F.sort_array(F.collect_set(F.when(F.col("which") == i, F.struct("term", "mask")))).alias(f"{c}_set")
-        for i, c in enumerate(texts)
-    ]
-    return found.groupBy(*keys).agg(*sets).select(*keys, *[subset_hashes(F.col(f"{c}_set")).alias(f"{c}_fp") for c in texts])
+def with_fingerprint(rows: DataFrame, text: str, slots: Column, name: str) -> DataFrame:
+    """``rows`` with the subset hashes of a text column as array ``name``. The
+    lexicon column is used once, so that it is not copied into the rows."""
+    draws, hashes = subset_hashes(F.col("_band"))
+    banded = rows.withColumn("_slots", slots).withColumn("_band", band_terms(F.col(text), F.col("_slots"))).drop("_slots")
+    return banded.withColumn("_draws", draws).withColumn(name, hashes).drop("_band", "_draws")
 
 
 def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -129,7 +148,7 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     comes the first).
 
     Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. The lexicon is broadcast; see its bound there.
+    near_edited, near_next. The lexicon goes to all tasks; see its bound there.
 
     Null text counts as empty; an empty set of terms gives a fingerprint of
     dashes. A null doc_id comes last in order. Rows of one doc_id follow each
@@ -147,8 +166,11 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     )
     own = placed.select("o", "k", "text", heads.alias("head"), half.alias("half"))
     edited = own.join(tails, ["o", "k"]).select("o", "k", "text", F.concat("head", "tail").alias("edited"))
+    slots = lexicon_slots(terms).scalar()
     hashed = edited.select("o", "k", "text", "edited", F.sha2("edited", 256).alias("sha"))
-    made = settled(fingerprints(hashed, ["o", "k", "sha"], ["text", "edited"], terms))
+    for text in ("text", "edited"):
+        hashed = with_fingerprint(hashed, text, slots, f"{text}_fp")
+    made = settled(hashed.select("o", "k", "sha", "text_fp", "edited_fp").dropDuplicates(["o", "k"]))
     following = made.select(F.col("o").alias("next_o"), F.col("k").alias("next_k"), F.col("text_fp").alias("next_fp"))
     full = order.select("o", "k", "doc_id", "copies", "n", "next_o", "next_k").join(made, ["o", "k"]).join(
         following, ["next_o", "next_k"]
