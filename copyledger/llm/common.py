@@ -12,7 +12,7 @@ import copyledger
 from copyledger.session import ensure_checkpoint_dir
 
 # Text that one step of a task works on at a time, in characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def importable(spark: SparkSession) -> None:

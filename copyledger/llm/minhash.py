@@ -21,6 +21,8 @@ BANDS, ROWS, WIDTH = 24, 5, 5
 _STEP = 4096
 # Members compared with one leader in one task.
 STAR_BLOCK = 512
+# Sets of one bucket that are compared with each other in one task.
+BUCKET_BLOCK = 2048
 
 
 def universal(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -126,26 +128,103 @@ def star_compare(pairs: DataFrame, values: DataFrame, test: Callable) -> DataFra
     )
 
 
-def _mixed_pairs(entries: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs inside a bucket whose ends lie in different components."""
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets, by products of their incidence
+    matrix over the shingles that two of them share."""
+    n = len(sets)
+    values, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = seen[column] > 1
+    place = np.cumsum(seen > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _STEP):
+        i, j = np.searchsorted(column, [lo, lo + _STEP])
+        part = np.zeros((n, _STEP), np.float32)
+        part[row[i:j], column[i:j] - lo] = 1
+        total += part @ part.T
+    return total
+
+
+def _bucket_links(percent: int) -> Callable:
+    """Links between different components inside each (bucket, b1, b2), as edges
+    that connect what they connect; rows come sorted by these."""
+
+    def links(ids: list, components: list, sides: list, across: bool, values: list) -> list[tuple[int, int]]:
+        if len(set(components)) < 2:
+            return []
+        sets = [np.frombuffer(v, "<u8") for v in values]
+        sizes = np.array([len(s) for s in sets], np.float64)
+        common = _common(sets).astype(np.float64)
+        _, part = np.unique(np.array(components), return_inverse=True)
+        near = 100 * common >= percent * (sizes[:, None] + sizes - common)
+        near &= part[:, None] < part
+        if across:
+            near &= np.array(sides)[:, None] != np.array(sides)
+        root = list(range(part.max() + 1))
+        found = []
+        for i, j in zip(*np.nonzero(near)):
+            a, b = part[i], part[j]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((ids[i], ids[j]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                if held and any(held[0][c] != row[c] for c in ("bucket", "b1", "b2")):
+                    edges += _linked(held)
+                    held = []
+                held.append(row)
+            yield _edges(edges)
+        yield _edges(_linked(held))
+
+    def _linked(rows: list[dict]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        columns = [[r[c] for r in rows] for c in ("rep", "component", "side", "value")]
+        return links(*columns[:3], rows[0]["b1"] != rows[0]["b2"], columns[3])
+
+    def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def mixed_links(entries: DataFrame, components: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Verified links between classes that share a bucket but no component yet.
+
+    The sets of such a bucket meet in one task, or in one for each two blocks of
+    BUCKET_BLOCK, and only connecting edges leave it, never the pairs."""
     placed = entries.join(components, entries.rep == components.id, "left").select(
         "bucket", "rep", F.coalesce("component", "rep").alias("component")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    open_ = join_on_groups(placed, mixed.select("bucket"), ["bucket"])
-    # Components first, members after: pairs inside one component never meet.
-    groups = open_.select("bucket", "component").distinct()
-    lower = groups.withColumnRenamed("component", "lc")
-    upper = groups.withColumnRenamed("component", "mc")
-    crossed = lower.join(upper, "bucket").where("lc < mc")
-    left = open_.select("bucket", F.col("rep").alias("x"), F.col("component").alias("lc"))
-    right = open_.select("bucket", F.col("rep").alias("y"), F.col("component").alias("mc"))
-    return (
-        crossed.join(left, ["bucket", "lc"])
-        .join(right, ["bucket", "mc"])
-        .select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("member"))
-        .distinct()
+    mixed = (
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where("a < b")
+        .select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    )
+    open_ = settled(
+        join_on_groups(placed, mixed, ["bucket"])
+        .withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "rep", "component")
     )
+    wanted = sets(open_.select(F.col("rep").alias("doc_id")).distinct())
+    keys = ["bucket", "b1", "b2"]
+    full = open_.join(wanted, open_.rep == wanted.id).select(*keys, "side", "rep", "component", "value")
+    dealt = full.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.transform(map_arrow, _bucket_links(percent), "u long, v long")
 
 
 def minhash_components(
@@ -156,10 +235,10 @@ def minhash_components(
     Texts are compared by their sets of ``width``-word shingles and linked where
     100 * intersection >= ``percent`` * union, checked on the full sets. Texts of
     equal words form one class first; its smallest doc_id stands for it. In each
-    band bucket every class is compared with one leader, which differs from band
-    to band; then the pairs of a bucket that are still in different components
-    are compared too, so that no candidate link is lost and a large group of
-    near copies costs a star instead of all its pairs. At a similarity of 0.85 a
+    band bucket every class is compared with one leader, by signature and then by
+    set; after that, classes of a bucket in different components are compared by
+    set, so that no candidate link is lost and a large group of near copies
+    sends each set to a few tasks instead of all its pairs. At a similarity of 0.85 a
     pair shares no bucket with probability 8e-7, at 0.80 with 7e-5.
 
     Null and empty texts have an empty set, link with nothing and are kept. A
@@ -173,16 +252,17 @@ def minhash_components(
         texts.transform(map_arrow, _signatures(bands, rows, width), "doc_id long, key binary, n_shingles long, sig binary")
     )
     known = table.where("key is not null and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = settled(classes)
+    reps = settled(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
     band = F.xxhash64(F.col("band"), F.substring("sig", F.col("band") * (4 * rows) + 1, 4 * rows))
-    entries = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select(
-        band.alias("bucket"), "rep"
+    own = known.join(reps, "key").where("doc_id = rep").select("rep", "copies", "sig")
+    entries = settled(
+        own.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).select(
+            band.alias("bucket"), "rep", "copies"
+        )
     )
-    # The leader of a bucket is the one with the least hash under the bucket's
-    # own seed, so that different bands try different leaders.
-    order = F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("rep"))
+    # A text that was copied often is likely what the others were made from.
+    order = F.struct((-F.col("copies")).alias("c"), F.col("rep").alias("rep"))
     leaders = (
         entries.groupBy("bucket")
         .agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n"))
@@ -192,27 +272,27 @@ def minhash_components(
     stars = settled(
         join_on_groups(entries, leaders, ["bucket"])
         .where("leader <> rep")
-        .select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("member"))
+        .select("leader", F.col("rep").alias("member"))
         .distinct()
     )
-    sigs = reps.select(F.col("rep").alias("id"), F.col("sig").alias("value"))
+    sigs = known.select(F.col("doc_id").alias("id"), F.col("sig").alias("value"))
     share = percent / 100
-    slack = 5 * math.sqrt(share * (1 - share) / (bands * rows))
+    slack = 4 * math.sqrt(share * (1 - share) / (bands * rows))
     alike = _agree(math.floor(max(0.0, share - slack) * bands * rows))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        close = settled(star_compare(pairs, sigs, alike))
-        wanted = close.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
+    def sets(wanted: DataFrame) -> DataFrame:
         needed = texts.join(wanted, "doc_id").select("doc_id", "text")
-        sets = needed.transform(map_arrow, _sets(width), "id long, value binary")
-        return settled(star_compare(close, sets, _overlap(percent)).distinct())
-
-    links = verified(stars)
-    linked = connected_components(links.select(F.col("leader").alias("u"), F.col("member").alias("v")))
-    rest = settled(_mixed_pairs(entries, linked).join(stars, ["leader", "member"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        linked = connected_components(links.select(F.col("leader").alias("u"), F.col("member").alias("v")))
+        return needed.transform(map_arrow, _sets(width), "id long, value binary")
+
+    close = settled(star_compare(stars, sigs, alike))
+    ends = close.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
+    links = settled(
+        star_compare(close, sets(ends), _overlap(percent)).select(F.col("leader").alias("u"), F.col("member").alias("v"))
+    )
+    linked = connected_components(links)
+    more = settled(mixed_links(entries, linked, sets, percent))
+    if not more.isEmpty():
+        linked = connected_components(links.unionByName(more))
 
     placed = reps.join(linked, reps.rep == linked.id, "left").select("key", F.coalesce("component", "rep").alias("root"))
     return (
