@@ -19,7 +19,7 @@ from copyledger.llm.common import map_arrow, read_table, text_blocks
 from copyledger.llm.tokens import chunks_of, load, tokenizer_path
 
 # Distinct chunks a worker process remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _NONE = np.int64(2**62)
 _PLACE_BITS = 24
 # Longer words are merged one at a time.
