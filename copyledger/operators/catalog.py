@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import mime, sizes
-from copyledger.operators.keyed import dense_number, hex_bucket, join_on_groups, range_number, rank_in_key, sized, top_per_key
+from copyledger.operators.keyed import dense_number, hex_bucket, join_on_groups, range_number, rank_in_key, top_per_key
 
 GROUP_KEYS = ["hash", "mime_type"]
 RANK_ORDER = ["last_modified", "priority", "id"]
@@ -29,16 +29,16 @@ FAMILY_CATEGORIES = {
 
 def with_base_paths(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     """Attach priority and is_vault; rows of unregistered base paths drop out."""
-    return catalog.join(sized(base_paths).select("base_path", "priority", "is_vault"), "base_path")
+    return catalog.join(base_paths.select("base_path", "priority", "is_vault"), "base_path")
 
 
 def with_categories(catalog: DataFrame, categories: DataFrame) -> DataFrame:
     """Attach category, null where the MIME type is not mapped."""
-    return catalog.join(sized(categories).select("mime_type", "category"), "mime_type", "left")
+    return catalog.join(categories.select("mime_type", "category"), "mime_type", "left")
 
 
 def with_known_category(df: DataFrame, categories: DataFrame) -> DataFrame:
-    return df.join(sized(categories).select("mime_type", "category"), "mime_type")
+    return df.join(categories.select("mime_type", "category"), "mime_type")
 
 
 def copy_groups(ranked_rows: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
@@ -149,7 +149,7 @@ def media_view(
     key, so whole groups are dropped before they are ranked."""
     chosen = FAMILY_CATEGORIES[family]
     if chosen is not None:
-        types = sized(categories).where(F.col("category").isin(chosen)).select("mime_type")
+        types = categories.where(F.col("category").isin(chosen)).select("mime_type")
         catalog = catalog.join(types, "mime_type", "left_semi")
     if wanted == "primary":
         return files_primary(catalog, base_paths, categories)

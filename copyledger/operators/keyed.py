@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +15,6 @@ from copyledger.session import ensure_checkpoint_dir
 # keys is bounded. A key outside the list holds under 1/10,000 of all rows.
 MAX_HOT_KEYS = 10_000
 
-# A dimension is broadcast only when counted at or below this many rows.
-MAX_DIMENSION_ROWS = 100_000
-_counted: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has at most MAX_DIMENSION_ROWS rows. The count stops just
-    past the limit and is made once per DataFrame."""
-    small = _counted.get(df)
-    if small is None:
-        small = df.limit(MAX_DIMENSION_ROWS + 1).count() <= MAX_DIMENSION_ROWS
-        _counted[df] = small
-    return small
-
-
-def sized(dimension: DataFrame) -> DataFrame:
-    """A stored dimension or a given list, hinted for broadcast when small.
-
-    Larger tables are left to a shuffle join, where adaptive execution splits
-    the partition of a dominant key.
-    """
-    return F.broadcast(dimension) if is_small(dimension) else dimension
-
 
 def join_on_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``groups``, which has one row per ``keys`` value.

@@ -7,21 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyledger.functions import sizes, times
-from copyledger.operators.keyed import is_small
 
 
 def lookup_by_id(catalog: DataFrame, ids: DataFrame, inventory: DataFrame) -> DataFrame:
     """What is known about each requested id (text column ``id``), with status
     found, unknown id or missing file.
 
-    A short list is broadcast to the catalog, and its hits, which are no more
-    than the ids, to the inventory: neither large table is shuffled.
+    Adaptive execution broadcasts a short list to the catalog, and its hits to the
+    inventory, by their measured bytes.
     """
     wanted = ids.select(F.col("id").cast("string").alias("requested")).distinct()
     numeric = F.when(F.col("requested").rlike(r"\A[0-9]+\z"), F.col("requested").try_cast("bigint"))
     numbers = wanted.select(numeric.alias("_id")).where("_id IS NOT NULL")
-    short = is_small(numbers)
-    hits = catalog.join(F.broadcast(numbers) if short else numbers, F.col("id") == F.col("_id"), "left_semi")
+    hits = catalog.join(numbers, F.col("id") == F.col("_id"), "left_semi")
     rows = hits.select(
         F.col("id").alias("_id"),
         "full_path",
@@ -31,7 +29,7 @@ def lookup_by_id(catalog: DataFrame, ids: DataFrame, inventory: DataFrame) -> Da
     )
     live = inventory.where("is_regular").select("full_path", F.lit(True).alias("_live"))
     hit_paths = hits.select("full_path")
-    live = live.join(F.broadcast(hit_paths) if short else hit_paths, "full_path", "left_semi")
+    live = live.join(hit_paths, "full_path", "left_semi")
     found = wanted.withColumn("_id", numeric).join(rows, "_id", "left").join(live, "full_path", "left")
     status = (
         F.when(F.col("full_path").isNull(), "unknown id").when(F.col("_live"), "found").otherwise("missing file")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
 from copyledger.operators.catalog import GROUP_KEYS, mime_filter
-from copyledger.operators.keyed import descending, join_on_groups, sized
+from copyledger.operators.keyed import descending, join_on_groups
 from copyledger.schema import MANIFEST_COLUMNS
 
 VIEW_KEYS = ["hash", "major_type"]
@@ -189,7 +189,7 @@ def expand_targets(targets: DataFrame, inventory: DataFrame) -> DataFrame:
     wanted = targets.select(paths.normalize_path("path").alias("_dir")).distinct()
     listed = inventory.where("is_regular").select(paths.normalize_path("full_path").alias("path"))
     chains = listed.withColumn("_dir", F.explode(paths.ancestors("path")))
-    return join_on_groups(chains, sized(wanted), ["_dir"], "left_semi").select("path").distinct()
+    return join_on_groups(chains, wanted, ["_dir"], "left_semi").select("path").distinct()
 
 
 def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -241,13 +241,15 @@ def require_bases(df: DataFrame, live_bases: DataFrame) -> None:
         raise ValueError(f"base paths missing or not mounted: {found}")
 
 
-def clean(manifest: DataFrame, inventory: DataFrame, full_check: bool = False) -> DataFrame:
+def clean(manifest: DataFrame, inventory: DataFrame, live_bases: DataFrame, full_check: bool = False) -> DataFrame:
     """Manifest rows with ``reason``: null to keep, else the first failing rule.
 
     The cheap form tests existence only. MIME types are compared after
     parameters are cut on both sides; times are compared as timestamps.
-    Call :func:`require_bases` first, as an absent base path must abort.
+    Raises when a base path is not among ``live_bases``, so that an unmounted disk
+    is not taken for deleted files.
     """
+    require_bases(manifest, live_bases)
     live = inventory.where("is_regular").select(
         F.col("full_path").alias("_path"),
         F.col("file_size").alias("_size"),

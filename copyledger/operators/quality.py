@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths, validity
-from copyledger.operators.keyed import sized
 from copyledger.session import existing_paths
 from copyledger.sources.manifest_io import read_lines
 
@@ -36,7 +35,7 @@ def slash_issues(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
 
 
 def missing_base_paths(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
-    return catalog.select("base_path").distinct().join(sized(base_paths).select("base_path"), "base_path", "left_anti")
+    return catalog.select("base_path").distinct().join(base_paths.select("base_path"), "base_path", "left_anti")
 
 
 def invalid_hashes(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def empty_vaults(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
 
 def invisible_rows(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     """Rows the ranked catalog drops: their base path is not registered."""
-    lost = catalog.join(sized(base_paths).select("base_path"), "base_path", "left_anti")
+    lost = catalog.join(base_paths.select("base_path"), "base_path", "left_anti")
     return lost.select("id", "base_path", "file_path", "full_path")
 
 
@@ -119,7 +118,7 @@ def run_checks(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     Row tests and base path tests share one pass: counts per base path, of
     which there are few, are then matched with the registered ones.
     """
-    known = sized(base_paths).select("base_path", F.lit(True).alias("_known"))
+    known = base_paths.select("base_path", F.lit(True).alias("_known"))
     per_base = catalog.groupBy("base_path").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(test()).alias(name) for name, test in ROW_TESTS.items()]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import times
 from copyledger.operators.catalog import GROUP_KEYS, copy_groups, with_base_paths, with_categories
-from copyledger.operators.keyed import join_on_groups, sized
+from copyledger.operators.keyed import join_on_groups
 
 
 def vault_dupes(
@@ -59,7 +59,7 @@ def unvaulted_primaries(catalog: DataFrame, base_paths: DataFrame, categories: D
     """Image primaries outside ``vault`` that have a younger image copy with the
     same hash inside it, smallest age difference first."""
     visible = with_base_paths(catalog, base_paths)
-    image_types = sized(categories).where(F.col("category") == "image").select("mime_type")
+    image_types = categories.where(F.col("category") == "image").select("mime_type")
     images = visible.join(image_types, "mime_type", "left_semi")
     primaries = (
         copy_groups(images, ["base_path", "full_path", "file_size"])

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import sizes
-from copyledger.operators.keyed import sized
 from copyledger.operators.catalog import (
     GROUP_KEYS,
     copy_groups,
@@ -84,7 +83,7 @@ def category_filter(
 ) -> DataFrame:
     """Primaries of the wanted categories. A MIME type decides its category and
     is part of the group key, so the filter may precede the ranking."""
-    chosen = sized(categories).where(F.col("category").isin(list(wanted))).select("mime_type")
+    chosen = categories.where(F.col("category").isin(list(wanted))).select("mime_type")
     rows = catalog.join(chosen, "mime_type", "left_semi")
     return files_primary(rows, base_paths, categories).select(*REPORT_CATEGORY_COLUMNS)
 

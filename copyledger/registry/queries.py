@@ -665,21 +665,20 @@ def remove_targets(spark, sf):
     SELECT id, base_path, full_path FROM cat WHERE full_path NOT IN (SELECT full_path FROM inv)""")
 def reconcile_exists(spark, sf):
     return inventory_source.missing_rows(
-        tables.catalog(spark, sf), tables.inventory(spark, sf), tables.live_bases(spark, sf)
+        tables.catalog(spark, sf), tables.inventory(spark, sf), tables.mounted_bases(spark, sf)
     )
 
 
 @query("manifest_clean", "cleaned", "SELECT * FROM cleaned")
 def manifest_clean(spark, sf):
-    rows = tables.manifest(spark, sf)
-    manifest.require_bases(rows, tables.live_bases(spark, sf))
-    return manifest.clean(rows, tables.inventory(spark, sf), full_check=True)
+    rows, now = tables.manifest(spark, sf), tables.inventory(spark, sf)
+    return manifest.clean(rows, now, tables.mounted_bases(spark, sf), full_check=True)
 
 
 @query("manifest_clean_quick", "cleaned", """
     SELECT * REPLACE (CASE WHEN reason = 'file missing' THEN reason END AS reason) FROM cleaned""")
 def manifest_clean_quick(spark, sf):
-    return manifest.clean(tables.manifest(spark, sf), tables.inventory(spark, sf))
+    return manifest.clean(tables.manifest(spark, sf), tables.inventory(spark, sf), tables.mounted_bases(spark, sf))
 
 
 @query("delete_by_id", "cat inv", "SELECT id, full_path FROM cat WHERE full_path IN (SELECT full_path FROM inv)")
@@ -969,7 +968,7 @@ def unselected(spark, sf):
 
 @query("distinct_categories", "cat mc", "SELECT DISTINCT category FROM cat JOIN mc USING (mime_type)")
 def distinct_categories(spark, sf):
-    return category_source.seed_categories(tables.catalog(spark, sf)).select("category").distinct()
+    return category_source.seed_categories(tables.catalog(spark, sf), tables.categories(spark)).select("category").distinct()
 
 
 @query("distinct_base_paths", "cat", "SELECT DISTINCT base_path FROM cat")
@@ -1002,7 +1001,7 @@ def seed_base_paths(spark, sf):
 
 @query("seed_categories", "cat mc", "SELECT DISTINCT mime_type, category FROM cat JOIN mc USING (mime_type)")
 def seed_categories(spark, sf):
-    return category_source.seed_categories(tables.catalog(spark, sf))
+    return category_source.seed_categories(tables.catalog(spark, sf), tables.categories(spark))
 
 
 @query("redundant_plan", "files inv", """

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.functions import times
-from copyledger.schema import BASE_PATHS_SCHEMA, MANIFEST_COLUMNS, as_catalog
+from copyledger.schema import BASE_PATHS_SCHEMA, CATEGORIES_SCHEMA, MANIFEST_COLUMNS, as_catalog
 from copyledger.session import literal_table
-from copyledger.sources.categories import default_categories
 
 REGISTERED = [
     ("/vol/v0", 10, True),
@@ -19,6 +18,15 @@ REGISTERED = [
 ]
 VAULT = "/vol/v0"
 
+# The user's category table of these queries.
+MAPPED = [
+    ("image/png", "image"),
+    ("image/jpeg", "image"),
+    ("audio/mpeg", "audio"),
+    ("video/mp4", "video"),
+    ("text/plain", "text"),
+]
+
 
 # Given explicitly, so that no job has to read file footers first.
 SCHEMAS = {
@@ -39,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "image/png")
         .when(F.col("event_type") == "click", "video/mp4")
         .when(F.col("event_type") == "view", "application/x-unmapped")
-        .otherwise("image/jpeg")
+        .otherwise("audio/mpeg")
     )
     content = F.concat_ws(":", F.col("user_id").cast("string"), (F.col("event_id") % 20).cast("string"))
     volume = (F.col("event_id") * 7) % 11 % 6
@@ -68,7 +76,7 @@ def base_paths(spark: SparkSession) -> DataFrame:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return default_categories(spark)
+    return literal_table(spark, MAPPED, CATEGORIES_SCHEMA.names)
 
 
 def manifest(spark: SparkSession, sf_dir: str, volumes: tuple[int, ...] | None = None) -> DataFrame:
@@ -102,6 +110,12 @@ def live_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("base_path").distinct()
 
 
+def mounted_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base paths the later scan found something under."""
+    folder = F.regexp_extract("full_path", r"\A(/[^/]+/[^/]+)/", 1)
+    return inventory(spark, sf_dir).select(folder.alias("base_path")).distinct()
+
+
 def faulty_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog with the faults the health checks look for; paths repeat because
     they are built from the user id."""

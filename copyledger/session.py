@@ -19,7 +19,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
     Adaptive execution splits hot partitions and merges small ones, so with
     ``input_bytes`` the shuffle starts from partitions that fit in memory
-    (between 200 and 50,000) and shrinks where little data arrives.
+    (200 at least) and shrinks where little data arrives.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -30,7 +30,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
         "spark.sql.requireAllClusterKeysForCoPartition": "true",
     }
     if input_bytes is not None:
-        settings["spark.sql.shuffle.partitions"] = str(min(max(input_bytes // PARTITION_BYTES, 200), 50_000))
+        settings["spark.sql.shuffle.partitions"] = str(max(input_bytes // PARTITION_BYTES, 200))
     for key, value in settings.items():
         spark.conf.set(key, value)
     return spark

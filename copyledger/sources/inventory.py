@@ -56,25 +56,23 @@ def _glob_for(include: list[str]) -> str | None:
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries of each folder: subfolders and regular files, links not followed.
-    Folders and entries that cannot be read are left out."""
+    A folder that cannot be opened fails the listing, as its files would seem
+    deleted; an entry that vanished meanwhile is left out."""
     for batch in batches:
         for folder in batch["folder"]:
             rows = []
-            try:
-                with os.scandir(folder) as entries:
-                    for e in entries:
-                        try:
-                            is_dir = e.is_dir(follow_symlinks=False)
-                            if is_dir or e.is_file(follow_symlinks=False):
-                                info = e.stat(follow_symlinks=False)
-                                rows.append((e.path, is_dir, info.st_size, info.st_mtime_ns // 10**9))
-                        except OSError:
-                            continue
-                        if len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
-                            rows = []
-            except OSError:
-                pass
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    try:
+                        is_dir = e.is_dir(follow_symlinks=False)
+                        if is_dir or e.is_file(follow_symlinks=False):
+                            info = e.stat(follow_symlinks=False)
+                            rows.append((e.path, is_dir, info.st_size, info.st_mtime_ns // 10**9))
+                    except FileNotFoundError:
+                        continue
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
 
 
@@ -118,12 +116,17 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(out).where("NOT is_dir").select("path", "length", "mtime")
 
 
-def scan_files(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
+def scan_files(
+    spark: SparkSession, root: str, include: Iterable[str] = (), keep_unreadable: bool = False
+) -> DataFrame:
     """Manifest rows of every file below ``root`` on a shared mount.
 
     MIME types come from file names, and only wanted files are opened. Times
     are in the session time zone, to the second. Hashing is spread by files and
-    bytes; a file is read in chunks by one task, whatever its size.
+    bytes; a file is read in chunks by one task, whatever its size. Files that
+    cannot be read are left out, or with ``keep_unreadable`` are rows without a
+    hash: use that to reconcile, so that they count as present. A root or folder
+    that cannot be opened is an error.
     """
     root = root.rstrip("/") or "/"
     include = list(include)
@@ -136,7 +139,8 @@ def scan_files(spark: SparkSession, root: str, include: Iterable[str] = ()) -> D
     hashed = files.repartition(tasks, "path").mapInPandas(
         _hash_files, "path string, length bigint, mtime bigint, relative string, hash string"
     )
-    return hashed.where("hash IS NOT NULL").select(
+    known = hashed if keep_unreadable else hashed.where("hash IS NOT NULL")
+    return known.select(
         "hash",
         F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("last_modified"),
         F.col("length").alias("file_size"),
@@ -154,12 +158,7 @@ def scan_store(spark: SparkSession, root: str, include: Iterable[str] = ()) -> D
     fit in 2 GB; use :func:`scan_files` where a mount exists.
     """
     include = list(include)
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     glob = _glob_for(include)
     found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     base = F.lit(re.sub(r"\Afile:/+", "/", root).rstrip("/"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths as path_fn
-from copyledger.operators.keyed import dense_number, sized
+from copyledger.operators.keyed import dense_number
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, MANIFEST_COLUMNS, as_catalog
 from copyledger.session import existing_paths, without_file_scheme
 
@@ -60,11 +60,13 @@ def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str])
     lines = spark.read.text(list(paths))
     # An argument may be a folder: a file belongs to the argument it equals or
     # lies below.
-    positions = {u: i for i, u in enumerate(uris)}
+    positions = {u.rstrip("/"): i for i, u in enumerate(uris)}
     placed = []
     for name in map(without_file_scheme, lines.inputFiles()):
         at = name
         while at not in positions:
+            if "/" not in at:
+                raise ValueError(f"{name} lies below none of the arguments")
             at = at.rsplit("/", 1)[0]
         placed.append((name, positions[at]))
     files = spark.createDataFrame(placed, "_source string, _file int")
@@ -79,7 +81,7 @@ def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str])
     rows = raw.select(
         *[v.alias(c) for c, v in typed.items()], "_source", F.coalesce(broken, F.lit(True)).alias("_broken")
     )
-    return rows.join(sized(files), "_source").drop("_source")
+    return rows.join(files, "_source").drop("_source")
 
 
 def load_catalog(
@@ -113,7 +115,7 @@ def load_catalog(
     clash = (F.col("_n") > 1) | (F.col("_file") > F.col("_earliest"))
     if existing is not None:
         # A small load is broadcast to the catalog instead of shuffling it.
-        arriving = sized(rows.select(path_fn.full_path("base_path", "file_path").alias("full_path")))
+        arriving = rows.select(path_fn.full_path("base_path", "file_path").alias("full_path"))
         taken = existing.select("full_path").join(arriving, "full_path", "left_semi")
         taken = taken.withColumn("_taken", F.lit(True))
         per_path = per_path.join(taken, "full_path", "left")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from copyledger.functions import times
-from copyledger.operators.keyed import sized
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, as_catalog
 from copyledger.sources.load import assign_ids, next_id
 from copyledger.sources.manifest_io import parse_failfast
@@ -27,6 +26,11 @@ def read_loaded(spark: SparkSession, catalog_dir: str) -> DataFrame:
 
 def _append(batch: DataFrame, batch_id: int, catalog_dir: str) -> None:
     spark = batch.sparkSession
+    # A batch load refuses such lines too: a null time would sort before all others.
+    untimed = times.parse_ts("last_modified").isNull()
+    bad = [r["file_path"] for r in batch.where(untimed).select("file_path").limit(5).collect()]
+    if bad:
+        raise ValueError(f"times that cannot be read, for: {bad}")
     rows = as_catalog(
         batch.withColumn("id", F.lit(None).cast("bigint")).withColumn(
             "last_modified", times.parse_ts("last_modified")
@@ -38,7 +42,7 @@ def _append(batch: DataFrame, batch_id: int, catalog_dir: str) -> None:
         earlier = read_loaded(spark, catalog_dir).where(F.col("batch") < batch_id)
     repeated = rows.groupBy("full_path").count().where("count > 1").select("full_path")
     # The batch is broadcast when small, so the catalog is scanned, not shuffled.
-    taken = earlier.select("full_path").join(sized(rows.select("full_path")), "full_path", "left_semi")
+    taken = earlier.select("full_path").join(rows.select("full_path"), "full_path", "left_semi")
     clashes = [r["full_path"] for r in repeated.unionByName(taken).limit(5).collect()]
     if clashes:
         raise ValueError(f"full paths already in the catalog: {clashes}")

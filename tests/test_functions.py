@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
 from copyledger.operators.keyed import hex_bucket
-from copyledger.sources.categories import category_of, default_categories
 
 
 @pytest.fixture(scope="module")
@@ -176,22 +175,3 @@ def test_hex_bucket_keeps_order(spark, apply):
     assert values == sorted(values, key=lambda v: v.encode())
     buckets = apply(hex_bucket, values)
     assert buckets == sorted(buckets, key=lambda v: v.encode())
-
-
-def test_categories(spark, apply):
-    cases = {
-        "application/applefile": "apple_metadata", "application/inf": "installer", "application/epub+zip": "ebook",
-        "application/java-archive": "executable", "application/x-java-keystore": "security",
-        "application/vnd.java.hprof.text": "data", "application/vnd.android.package-archive": "installer",
-        "application/vnd.ms-fontobject": "font", "application/x-mysql-misam-compressed-index": "database",
-        "application/vnd.oasis.opendocument.text": "document", "application/x-tar": "archives",
-        "application/x-tika-msworks-spreadsheet": "spreadsheet", "application/xspf+xml": "media_support",
-        "application/octet-stream": "unknown", "application/ogg": "media_container", "text/csv": "spreadsheet",
-        "text/x-vcard": "calendar", "text/html": "web", "text/x-python": "text", "video/x-matroska": "video",
-        "application/x-matroska": "media_container", "application/vnd.koan": "other", "chemical/x-pdb": "science",
-        "application/x-unmapped": None, "application/pkix-crl": "security", "application/dita+xml": "document",
-        "application/vnd.dolby.mlp": "audio", "multipart/related": "web", "model/vnd.dwf": "cad_3d",
-    }
-    assert apply(category_of, list(cases)) == list(cases.values())
-    table = {r["mime_type"]: r["category"] for r in default_categories(spark).collect()}
-    assert table["image/png"] == "image" and table["text/html"] == "web"

@@ -113,13 +113,16 @@ def test_clean_reports_the_first_failing_rule(man, inv):
         ("/b/time", True, True, 1, "2024-01-01 00:00:01", "m/z"), ("/b/mime", True, True, 1, "2024-01-01 00:00:00", "m/z"),
         ("/b/same", True, True, 1, "2024-01-01 00:00:00", "m/x"), ("/b/junk", True, True, 1, "2024-01-01 00:00:00", "m/x"),
     )
-    reasons = {r.file_path: r.reason for r in manifest.clean(rows, live, full_check=True).collect()}
+    bases = rows.select("base_path").distinct()
+    reasons = {r.file_path: r.reason for r in manifest.clean(rows, live, bases, full_check=True).collect()}
     assert reasons == {
         "gone": "file missing", "pipe": "file missing", "size": "size mismatch (meta=1,disk=2)",
         "time": f"timestamp mismatch (meta={T0},disk={T1})", "mime": "mime mismatch (meta=m/x,disk=m/z)", "same": None,
         "junk": f"timestamp mismatch (meta=junk,disk={T0})",
     }
-    quick = manifest.clean(rows, live)
+    quick = manifest.clean(rows, live, bases)
+    with pytest.raises(ValueError, match="not mounted"):
+        manifest.clean(rows, live, bases.where("false"))
     assert {r.file_path for r in quick.where("reason IS NOT NULL").collect()} == {"gone", "pipe"}
     counts = manifest.clean_summary(quick, "base_path").first()
     assert tuple(counts) == ("/b", 7, 5, 2)

@@ -157,15 +157,6 @@ def test_dense_number(spark, start):
     assert ranged == got
 
 
-def test_large_dimension_is_not_broadcast(spark, monkeypatch):
-    dim = spark.range(50).select(F.concat(F.lit("/v"), F.col("id")).alias("base_path"))
-    monkeypatch.setattr(keyed, "MAX_DIMENSION_ROWS", 10)
-    assert keyed.sized(dim) is dim
-    monkeypatch.setattr(keyed, "MAX_DIMENSION_ROWS", 100)
-    other = dim.select("base_path")
-    assert keyed.sized(other) is not other
-
-
 def test_vault_questions_against_brute_force(skewed, bases):
     rows = [r.asDict() for r in skewed.join(bases, "base_path").collect()]
     groups = {}

@@ -308,7 +308,8 @@ def test_ts_fixes(spark, tmp_path):
 def test_read_categories(spark, tmp_path):
     path = write(tmp_path / "c.tsv", ["image/png\timage", "text/x\ttext"])
     assert {tuple(r) for r in categories.read_categories(spark, path).collect()} == {("image/png", "image"), ("text/x", "text")}
-    seeded = categories.seed_categories(spark.createDataFrame([("image/png",), ("foo",)], "mime_type string"))
+    held = spark.createDataFrame([("image/png",), ("foo",), ("IMAGE/PNG",), ("image/zzz",)], "mime_type string")
+    seeded = categories.seed_categories(held, categories.read_categories(spark, path))
     assert [tuple(r) for r in seeded.collect()] == [("image/png", "image")]
 
 
@@ -319,7 +320,7 @@ def test_session_settings(spark):
     before = {k: spark.conf.get(k) for k in keys}
     try:
         configure(spark, 10**14)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "50000"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(10**14 // (128 * 1024 * 1024))
         configure(spark, 1)
         assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
     finally:
