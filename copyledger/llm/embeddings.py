@@ -132,22 +132,23 @@ def _entries(tables: int, depth: int, probes: int):
     return run
 
 
-def _met(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """First table in which two vectors meet: one of them holds its own bucket
-    where the other holds or probes it."""
-    first = np.full(len(i), codes.shape[1])
+def _met(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First table and bucket in which two vectors meet: the own bucket of ``i`` if
+    ``j`` holds or probes it, else the own bucket of ``j``."""
+    first, where = np.full(len(i), codes.shape[1]), np.zeros(len(i), np.uint64)
     for t in range(codes.shape[1] - 1, -1, -1):
         a, b = codes[i, t], codes[j, t]
-        hit = (a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)
-        first[hit] = t
-    return first
+        here, there = (a[:, :1] == b).any(axis=1), (b[:, :1] == a).any(axis=1)
+        first[here | there] = t
+        where[here | there] = np.where(here, a[:, 0], b[:, 0])[here | there]
+    return first, where
 
 
 def _links(tables: int, depth: int, probes: int, cosine: float):
     """Per bucket block: linked pairs that meet here first, as a count for each
     vector (other null) and as edges that connect them (count 0)."""
 
-    def group(table: int, block: np.ndarray, ids: np.ndarray, base: np.ndarray, side: np.ndarray, copies: np.ndarray, unit: np.ndarray):
+    def group(table: int, code: int, block: np.ndarray, ids: np.ndarray, base: np.ndarray, side: np.ndarray, copies: np.ndarray, unit: np.ndarray):
         n = len(ids)
         total = np.zeros(n, np.int64)
         edges: list[tuple[int, int]] = []
@@ -169,7 +170,10 @@ def _links(tables: int, depth: int, probes: int, cosine: float):
             i = i + lo
             if codes is None:
                 codes = buckets(unit, tables, depth, probes)
-            mine = _met(codes, i, j) == table
+            swap = ids[i] > ids[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            first, where = _met(codes, i, j)
+            mine = (first == table) & (where.view(np.int64) == code)
             i, j = i[mine], j[mine]
             np.add.at(total, i, copies[j])
             np.add.at(total, j, copies[i])
@@ -198,7 +202,7 @@ def _links(tables: int, depth: int, probes: int, cosine: float):
             if len(rows["vec_id"]) > 1 and any(rows["base"]):
                 unit = _unit(np.frombuffer(b"".join(rows["v"]), "<f8").reshape(len(rows["v"]), -1))
                 out = group(
-                    int(rows["tab"][0]) >> 20, (rows["b1"][0], rows["b2"][0]), np.array(rows["vec_id"]),
+                    int(rows["tab"][0]) >> 20, int(rows["code"][0]), (rows["b1"][0], rows["b2"][0]), np.array(rows["vec_id"]),
                     np.array(rows["base"]), np.array(rows["side"]), np.array(rows["copies"]), unit,
                 )
                 for have, new in zip(keep, out):
