@@ -60,12 +60,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(raw: bytes, repeated: np.ndarray) -> list[tuple[int, int]]:
     """Byte spans to remove: chunks with a ``repeated`` digest, joined where they
-    touch and two or more follow each other, and grown to whole words. A lone
-    chunk counts too if it is all of a text or one border from its edge."""
+    touch and grown to whole words."""
     starts, ends, digests = chunks(raw)
     hit = np.isin(digests, repeated)
     found: list[list[int]] = []
-    size = 0
     for i in np.flatnonzero(hit).tolist():
         if found and starts[i] <= found[-1][1]:
             found[-1][1] = max(found[-1][1], int(ends[i]))
