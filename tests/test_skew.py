@@ -113,10 +113,10 @@ def test_hot_group_joins_are_split(spark, tight, skewed, bases, final_plan):
         assert "SortMergeJoin(skew=true)" in final_plan(df)
 
 
-def test_large_base_path_table_is_joined_by_shuffle(spark, tight, skewed, bases, final_plan, monkeypatch):
+def test_large_base_path_table_is_joined_by_shuffle(spark, tight, skewed, bases, final_plan):
     """One base path holds half of the rows and the table is too long to broadcast."""
     expected = as_set(c.with_base_paths(skewed, bases), "id", "priority")
-    monkeypatch.setattr(keyed, "MAX_DIMENSION_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     many = bases.unionByName(
         spark.range(100).select(
             F.concat(F.lit("/other"), F.col("id")).alias("base_path"),
@@ -127,6 +127,7 @@ def test_large_base_path_table_is_joined_by_shuffle(spark, tight, skewed, bases,
     hot = skewed.repartition(8, "id")
     joined = c.with_base_paths(hot, many)
     plan = final_plan(joined)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin(skew=true)" in plan and "BroadcastHashJoin" not in plan
     assert as_set(joined, "id", "priority") == expected
 
@@ -138,7 +139,7 @@ def test_primaries_are_limited_before_the_shuffle(skewed, bases, spark, final_pl
 
 
 def test_only_bucket_sizes_meet_in_one_task(skewed, bases, final_plan):
-    plan = final_plan(c.group_num(skewed, bases))
+    plan = final_plan(c.group_num(skewed, F.broadcast(bases)))
     assert plan.count("Exchange SinglePartition") == 1
     # what arrives there is one row per bucket, and the group shuffle is reused
     below = plan[plan.index("Exchange SinglePartition"):].splitlines()[1]
