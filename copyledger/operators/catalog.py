@@ -78,8 +78,8 @@ def group_size(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     return join_on_groups(rows, counts, GROUP_KEYS)
 
 
-def rank_in_group(catalog: DataFrame, base_paths: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    return rank_in_key(with_base_paths(catalog, base_paths), GROUP_KEYS, RANK_ORDER, "rn", hot_rows)
+def rank_in_group(catalog: DataFrame, base_paths: DataFrame, ranges: int | None = None) -> DataFrame:
+    return rank_in_key(with_base_paths(catalog, base_paths), GROUP_KEYS, RANK_ORDER, "rn", ranges)
 
 
 def disposition(is_primary: Column) -> Column:

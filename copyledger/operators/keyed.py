@@ -11,11 +11,6 @@ from pyspark.sql import Window as W
 from copyledger.functions import ColumnLike, as_col
 from copyledger.session import ensure_checkpoint_dir
 
-# At most this many keys are ever treated as hot, so the broadcast list of hot
-# keys is bounded. A key outside the list holds under 1/10,000 of all rows.
-MAX_HOT_KEYS = 10_000
-
-
 def join_on_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``groups``, which has one row per ``keys`` value.
 
@@ -72,13 +67,13 @@ def dense_number(df: DataFrame, bucket: Column, order: Sequence[ColumnLike], nam
     )
 
 
-def _settle(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def _settle(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Rows sorted by ``order`` over many tasks, with their position ``_pos``,
     rising inside each ``_range``; ranges follow the order too. Written out once,
     as a second evaluation could draw other range borders."""
     ensure_checkpoint_dir(df.sparkSession)
     return (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*([] if ranges is None else [ranges]), *order)
         .sortWithinPartitions(*order)
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_pos", 33))
@@ -116,43 +111,30 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def rank_in_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "rn",
-    hot_rows: int = 1_000_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", ranges: int | None = None
 ) -> DataFrame:
     """1-based rank of every row inside its key; ``order`` must end unique.
 
-    Keys below ``hot_rows`` rows use a window. Larger ones are range-sorted over
-    many tasks, written out once so that the row positions are settled, and
-    ranked by position plus the count of the same key in earlier ranges.
+    Rows are range-sorted by key and order over many tasks (``ranges`` of them,
+    else as many as the session shuffles to) and written out once, so that the
+    ranges are settled and a hot key is split among them. A row's rank counts
+    inside its range and key; only the first key of a range can have begun in
+    an earlier one, so the counts to add are at most one row per range.
     """
     keys, order = list(keys), list(order)
-    plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-    )
-    if hot.isEmpty():
-        return df.withColumn(name, plain)
-
-    marks = hot.select(*keys, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(marks), keys, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, plain)
-
-    placed = _settle(marked.where("_hot").drop("_hot"), [*keys, *order])
+    placed = _settle(df, [*keys, *order], ranges)
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    runs = (
+    continued = (
         placed.groupBy(*keys, "_range")
-        .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    ranked = placed.join(runs, [*keys, "_range"]).withColumn(
-        name, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("bigint")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.sum("_n").over(earlier))
+        .where("_before is not null")
+        .select(F.col("_range").alias("_r"), "_before", *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys)])
     )
-    return cold.unionByName(ranked.select(*cold.columns))
+    inside = F.row_number().over(W.partitionBy("_range", *keys).orderBy("_pos"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    ranked = placed.withColumn("_inside", inside).join(F.broadcast(continued), same, "left")
+    rank = F.col("_inside") + F.coalesce("_before", F.lit(0))
+    return ranked.select(*df.columns, rank.cast("bigint").alias(name))

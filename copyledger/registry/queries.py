@@ -300,7 +300,7 @@ def catalog_reset(spark, sf):
     """Ids of the first load after a reset."""
     out = scratch_path(spark, "reset")
     load.reset_catalog(spark, out)
-    start = load.next_id(spark.read.parquet(out))
+    start = load.stored_next_id(spark, out)
     return load.assign_ids(tables.catalog(spark, sf).select("full_path"), start).select("id", "full_path")
 
 
@@ -889,8 +889,8 @@ def rank_in_group(spark, sf):
 
 @query("rank_in_group_split", "ranked", "SELECT id, hash, mime_type, rn FROM ranked")
 def rank_in_group_split(spark, sf):
-    """The way taken for large groups, here for every group of five or more."""
-    ranked = cat_ops.rank_in_group(*_catalog_args(spark, sf), hot_rows=5)
+    """In so many ranges that groups are split among them."""
+    ranked = cat_ops.rank_in_group(*_catalog_args(spark, sf), ranges=64)
     return ranked.select("id", "hash", "mime_type", "rn")
 
 
@@ -1155,7 +1155,10 @@ def duplicate_priority_paths(spark, sf):
     SELECT 'id_high_water' AS check_name, max(id) AS max_id, CAST(1000001 AS BIGINT) AS next_id,
            CASE WHEN 1000001 <= max(id) THEN 1::BIGINT ELSE 0::BIGINT END AS problem_count FROM cat""")
 def id_high_water(spark, sf):
-    return quality.id_high_water(tables.catalog(spark, sf), 1000001)
+    """A catalog stored with a next id that its rows have passed."""
+    out = scratch_path(spark, "ids")
+    load.store_next_id(spark, out, 1000001)
+    return quality.id_high_water(tables.catalog(spark, sf), load.stored_next_id(spark, out))
 
 
 @query("manifest_validate", "lines", """

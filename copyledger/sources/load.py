@@ -16,8 +16,12 @@ from copyledger.session import existing_paths, without_file_scheme
 
 
 class LoadResult(NamedTuple):
+    """``next_id`` is the first id a later load may use, to be stored with the
+    catalog (:func:`store_next_id`) and handed to that load as ``start``."""
+
     catalog: DataFrame
     status: DataFrame
+    next_id: int
 
 
 def assign_ids(df: DataFrame, start: int = FIRST_ID) -> DataFrame:
@@ -33,6 +37,25 @@ def next_id(catalog: DataFrame) -> int:
     return catalog.agg(F.coalesce(F.max("id") + 1, F.lit(FIRST_ID)).alias("n")).first()["n"]
 
 
+def _marks(path: str) -> str:
+    return f"{path.rstrip('/')}.next_id"
+
+
+def store_next_id(spark: SparkSession, path: str, value: int) -> None:
+    """Record beside the catalog at ``path`` that ids below ``value`` are given
+    out. Marks are only added, so an id stays taken after its row is deleted."""
+    mark = spark.range(value, value + 1, 1, 1).select(F.col("id").alias("next_id"))
+    mark.write.mode("append").parquet(_marks(path))
+
+
+def stored_next_id(spark: SparkSession, path: str) -> int:
+    """First free id of the catalog at ``path``; the first id where none is recorded."""
+    marks = _marks(path)
+    if not existing_paths(spark, [marks]):
+        return FIRST_ID
+    return spark.read.schema("next_id bigint").parquet(marks).agg(F.max("next_id")).first()[0] or FIRST_ID
+
+
 def csv_fields(line: Column) -> Column:
     """Fields of a tab-delimited CSV line; null when a quote is left open.
 
@@ -56,7 +79,6 @@ def csv_fields(line: Column) -> Column:
 def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str]) -> DataFrame:
     """Rows of all files with ``_file``, their position in ``paths``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
-    types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
     lines = spark.read.text(list(paths))
     # An argument may be a folder: a file belongs to the argument it equals or
     # lies below.
@@ -72,16 +94,24 @@ def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str])
     files = spark.createDataFrame(placed, "_source string, _file int")
 
     source = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/")
-    raw = lines.select(source.alias("_source"), csv_fields(F.col("value")).alias("_f"))
+    rows = typed_rows(lines.select(source.alias("_source"), "value"))
+    return rows.join(files, "_source").drop("_source")
+
+
+def typed_rows(lines: DataFrame) -> DataFrame:
+    """Manifest rows of ``lines`` (value and others) with their types, and
+    ``_broken`` for those that no load accepts."""
+    types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
+    other = [c for c in lines.columns if c != "value"]
+    raw = lines.select(*other, csv_fields(F.col("value")).alias("_f"))
     text = {c: F.get("_f", F.lit(i)) for i, c in enumerate(MANIFEST_COLUMNS)}
     typed = {c: text[c].try_cast(types[c]) for c in MANIFEST_COLUMNS}
     broken = (F.size("_f") != len(MANIFEST_COLUMNS)) | (F.length(text["hash"]) > 40)
     for c in MANIFEST_COLUMNS:
         broken = broken | typed[c].isNull()
-    rows = raw.select(
-        *[v.alias(c) for c, v in typed.items()], "_source", F.coalesce(broken, F.lit(True)).alias("_broken")
+    return raw.select(
+        *other, *[v.alias(c) for c, v in typed.items()], F.coalesce(broken, F.lit(True)).alias("_broken")
     )
-    return rows.join(files, "_source").drop("_source")
 
 
 def load_catalog(
@@ -91,7 +121,8 @@ def load_catalog(
 
     Absent files are skipped. The first file with a malformed row, an empty
     field or a full path that is already taken fails as a whole and ends the
-    load; files before it stay loaded, later ones are not reached.
+    load; files before it stay loaded, later ones are not reached. Ids begin at
+    ``start``, the stored next id; without it, above the ids ``existing`` holds.
     """
     uris = existing_paths(spark, paths)
     present = list(uris)
@@ -103,7 +134,7 @@ def load_catalog(
     if not present:
         empty = spark.createDataFrame([], CATALOG_SCHEMA)
         status = skipped.select("path", F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("row_count"))
-        return LoadResult(existing if existing is not None else empty, status)
+        return LoadResult(existing if existing is not None else empty, status, first_id)
 
     rows = _read_files(spark, list(uris.values()), present)
     per_path = (
@@ -146,7 +177,8 @@ def load_catalog(
     derived = as_catalog(accepted.withColumn("id", F.lit(None).cast("bigint"))).drop("id")
     loaded = assign_ids(derived, first_id).select(*CATALOG_COLUMNS)
     merged = loaded if existing is None else existing.select(*CATALOG_COLUMNS).unionByName(loaded)
-    return LoadResult(merged, status)
+    taken_ids = sum(r["row_count"] for i, r in outcome.items() if i < stop)
+    return LoadResult(merged, status, first_id + taken_ids)
 
 
 def reset_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -154,4 +186,6 @@ def reset_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
     empty = spark.createDataFrame([], CATALOG_SCHEMA)
     if path is not None:
         empty.write.mode("overwrite").parquet(path)
+        first = spark.range(FIRST_ID, FIRST_ID + 1, 1, 1).select(F.col("id").alias("next_id"))
+        first.write.mode("overwrite").parquet(_marks(path))
     return empty

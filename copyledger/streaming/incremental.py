@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from copyledger.functions import times
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, as_catalog
-from copyledger.sources.load import assign_ids, next_id
-from copyledger.sources.manifest_io import parse_failfast
+from copyledger.session import existing_paths
+from copyledger.sources.load import assign_ids, next_id, typed_rows
 
 _STORED = CATALOG_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ") + ", batch bigint"
 
@@ -26,16 +25,11 @@ def read_loaded(spark: SparkSession, catalog_dir: str) -> DataFrame:
 
 def _append(batch: DataFrame, batch_id: int, catalog_dir: str) -> None:
     spark = batch.sparkSession
-    # A batch load refuses such lines too: a null time would sort before all others.
-    untimed = times.parse_ts("last_modified").isNull()
-    bad = [r["file_path"] for r in batch.where(untimed).select("file_path").limit(5).collect()]
+    # The rules of a batch load: what that refuses, no stream takes in.
+    bad = [r["line"] for r in batch.where("_broken").select("line").limit(5).collect()]
     if bad:
-        raise ValueError(f"times that cannot be read, for: {bad}")
-    rows = as_catalog(
-        batch.withColumn("id", F.lit(None).cast("bigint")).withColumn(
-            "last_modified", times.parse_ts("last_modified")
-        )
-    ).drop("id")
+        raise ValueError(f"invalid manifest lines: {bad}")
+    rows = as_catalog(batch.drop("_broken", "line").withColumn("id", F.lit(None).cast("bigint"))).drop("id")
     if batch_id == 0:
         earlier = spark.createDataFrame([], _STORED)
     else:
@@ -46,8 +40,18 @@ def _append(batch: DataFrame, batch_id: int, catalog_dir: str) -> None:
     clashes = [r["full_path"] for r in repeated.unionByName(taken).limit(5).collect()]
     if clashes:
         raise ValueError(f"full paths already in the catalog: {clashes}")
-    numbered = assign_ids(rows, next_id(earlier)).select(*CATALOG_COLUMNS)
-    numbered.write.mode("overwrite").parquet(f"{catalog_dir.rstrip('/')}/batch={batch_id}")
+    # Marks of this batch, from a run that failed later, are not looked at.
+    marks = f"{catalog_dir.rstrip('/')}.next_id"
+    first = next_id(earlier)
+    if existing_paths(spark, [marks]):
+        known = spark.read.schema("next_id bigint, batch bigint").parquet(marks)
+        first = max(first, known.where(F.col("batch") < batch_id).agg(F.max("next_id")).first()[0] or first)
+    numbered = assign_ids(rows, first).select(*CATALOG_COLUMNS)
+    folder = f"{catalog_dir.rstrip('/')}/batch={batch_id}"
+    numbered.write.mode("overwrite").parquet(folder)
+    taken_ids = spark.read.schema(CATALOG_SCHEMA).parquet(folder).agg((F.max("id") + 1).alias("next_id"))
+    mark = taken_ids.where("next_id is not null").withColumn("batch", F.lit(batch_id).cast("bigint"))
+    mark.write.mode("append").parquet(marks)
 
 
 def load_stream(spark: SparkSession, manifests: str, catalog_dir: str, checkpoint: str) -> StreamingQuery:
@@ -55,7 +59,7 @@ def load_stream(spark: SparkSession, manifests: str, catalog_dir: str, checkpoin
     then stop. A malformed line or a full path that is taken fails the batch."""
     lines = spark.readStream.schema("value string").text(manifests)
     return (
-        parse_failfast(lines)
+        typed_rows(lines.select("value", F.col("value").alias("line")))
         .writeStream.foreachBatch(lambda batch, batch_id: _append(batch, batch_id, catalog_dir))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

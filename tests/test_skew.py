@@ -55,12 +55,21 @@ def as_set(df, *columns):
     return set(rows)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 100, 2])
-def test_rank_in_group(skewed, bases, hot_rows):
-    got = c.rank_in_group(skewed, bases, hot_rows=hot_rows)
+@pytest.mark.parametrize("ranges", [None, 1, 50, 1000])
+def test_rank_in_group(skewed, bases, ranges):
+    got = c.rank_in_group(skewed, bases, ranges=ranges)
     assert as_set(got, "id", "rn") == as_set(windowed(skewed, bases), "id", "rn")
 
 
+def test_rank_in_key_with_null_keys_and_a_split_hot_key(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string"))
+    rows = spark.range(3000).select("id", key.alias("k"))
+    ranked = keyed.rank_in_key(rows, ["k"], ["id"], ranges=40)
+    expected = rows.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("id")))
+    assert as_set(ranked, "k", "id", "rn") == as_set(expected, "k", "id", "rn")
+    assert keyed.rank_in_key(rows.where("id < 0"), ["k"], ["id"]).count() == 0
+
+
 def test_files_equals_window_form(skewed, bases, spark):
     mc = spark.createDataFrame([("image/png", "image")], "mime_type string, category string")
     expected = {(i, g, "primary" if rn == 1 else "redundant") for i, rn, n, g in as_set(

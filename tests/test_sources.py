@@ -181,12 +181,39 @@ def test_stream_loads_only_new_files(spark, tmp_path):
     rows = {r.file_path: (r.id, r.batch) for r in read_loaded(spark, out).collect()}
     assert rows["c.TXT"] == (FIRST_ID + 2, 1)
     assert sorted(i for i, _ in rows.values()) == [FIRST_ID, FIRST_ID + 1, FIRST_ID + 2]
+    assert load.stored_next_id(spark, out) == FIRST_ID + 3
     write(source / "3.tsv", [line(4, "a")])
     with pytest.raises(Exception, match="already in the catalog"):
         load_stream(spark, str(source), out, ck).awaitTermination(120)
     assert read_loaded(spark, out).count() == 3
 
 
+@pytest.mark.parametrize("text", [line(5, "t", when="yesterday"), line(5, ""), line(5, '"t')])
+def test_stream_refuses_what_a_load_refuses(spark, tmp_path, text):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "1.tsv", [line(1, "a"), text])
+    with pytest.raises(Exception, match="invalid manifest lines"):
+        load_stream(spark, str(source), str(tmp_path / "cat"), str(tmp_path / "ck")).awaitTermination(120)
+
+
+def test_ids_of_deleted_rows_are_not_used_again(spark, tmp_path):
+    first = load.load_catalog(spark, [write(tmp_path / "1.tsv", [line(1, "a"), line(2, "b")])])
+    out = str(tmp_path / "cat")
+    assert load.stored_next_id(spark, out) == FIRST_ID
+    first.catalog.where(F.col("id") <= FIRST_ID).write.parquet(out)
+    load.store_next_id(spark, out, first.next_id)
+    kept = spark.read.parquet(out)
+    start = load.stored_next_id(spark, out)
+    more = load.load_catalog(spark, [write(tmp_path / "2.tsv", [line(3, "c")])], existing=kept, start=start)
+    assert sorted(r.id for r in more.catalog.collect()) == [FIRST_ID, FIRST_ID + 2]
+    assert more.next_id == FIRST_ID + 3
+    load.store_next_id(spark, out, FIRST_ID + 1)
+    assert load.stored_next_id(spark, out) == start
+    load.reset_catalog(spark, out)
+    assert load.stored_next_id(spark, out) == FIRST_ID
+
+
 # --- inventory -----------------------------------------------------------
 
 
