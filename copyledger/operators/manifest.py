@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
@@ -181,14 +181,21 @@ def group_listing(df: DataFrame, majors: Iterable[str] = (), drop_unique: bool =
 # --- remove --------------------------------------------------------------
 
 
+def _depth(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
 def expand_targets(targets: DataFrame, inventory: DataFrame) -> DataFrame:
     """Regular files named by ``targets`` (column ``path``): each target itself,
     or every file below it when it is a directory. Matching goes through the
-    directories above each file, so it stays an equi-join; the usual short list
-    is broadcast."""
+    directories above each file that are as deep as some target, so it stays an
+    equi-join and a file makes one row per depth that occurs among the targets."""
     wanted = targets.select(paths.normalize_path("path").alias("_dir")).distinct()
+    # Path depths: a handful of numbers whatever the number of targets.
+    depths = wanted.select(_depth(F.col("_dir")).alias("d")).agg(F.collect_set("d")).scalar()
     listed = inventory.where("is_regular").select(paths.normalize_path("full_path").alias("path"))
-    chains = listed.withColumn("_dir", F.explode(paths.ancestors("path")))
+    above = F.filter(paths.ancestors("path"), lambda p: F.array_contains(F.col("_depths"), _depth(p)))
+    chains = listed.withColumn("_depths", depths).withColumn("_dir", F.explode(above)).drop("_depths")
     return join_on_groups(chains, wanted, ["_dir"], "left_semi").select("path").distinct()
 
 

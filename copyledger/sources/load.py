@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from copyledger.functions import paths as path_fn
 from copyledger.operators.keyed import dense_number
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, MANIFEST_COLUMNS, as_catalog
-from copyledger.session import existing_paths, without_file_scheme
+from copyledger.session import existing_paths, literal_table, scratch_path
 
 
 class LoadResult(NamedTuple):
@@ -76,37 +76,52 @@ def csv_fields(line: Column) -> Column:
     return F.when(quotes == 0, plain).when(quotes % 2 == 0, F.transform(quoted, unquote))
 
 
-def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str]) -> DataFrame:
+def _placed(rows: DataFrame, uris: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_file``: the position of the argument that names their file
+    (``_source``) or the closest folder above it. Only names as deep as some
+    argument are looked up."""
+    by_depth: dict[int, list[tuple[str, int]]] = {}
+    for i, uri in enumerate(uris):
+        name = uri.rstrip("/")
+        by_depth.setdefault(name.count("/"), []).append((name, i))
+    found = []
+    for depth in sorted(by_depth, reverse=True):
+        # One row per argument.
+        named = literal_table(rows.sparkSession, by_depth[depth], ["_name", f"_at_{depth}"])
+        above = rows.withColumn("_name", F.substring_index("_source", "/", depth + 1))
+        rows = above.join(F.broadcast(named), "_name", "left").drop("_name")
+        found.append(f"_at_{depth}")
+    nowhere = F.raise_error(F.concat(F.col("_source"), F.lit(" lies below none of the arguments"))).cast("int")
+    return rows.withColumn("_file", F.coalesce(*found, nowhere)).drop("_source", *found)
+
+
+def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str], multiline: bool) -> DataFrame:
     """Rows of all files with ``_file``, their position in ``paths``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
-    lines = spark.read.text(list(paths))
-    # An argument may be a folder: a file belongs to the argument it equals or
-    # lies below.
-    positions = {u.rstrip("/"): i for i, u in enumerate(uris)}
-    placed = []
-    for name in map(without_file_scheme, lines.inputFiles()):
-        at = name
-        while at not in positions:
-            if "/" not in at:
-                raise ValueError(f"{name} lies below none of the arguments")
-            at = at.rsplit("/", 1)[0]
-        placed.append((name, positions[at]))
-    files = spark.createDataFrame(placed, "_source string, _file int")
-
-    source = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/")
-    rows = typed_rows(lines.select(source.alias("_source"), "value"))
-    return rows.join(files, "_source").drop("_source")
+    source = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/").alias("_source")
+    if not multiline:
+        return typed_rows(_placed(spark.read.text(list(paths)).select(source, "value"), uris))
+    fields = ", ".join(f"{c} string" for c in [*MANIFEST_COLUMNS, "_bad"])
+    records = spark.read.schema(fields).csv(
+        list(paths), sep="\t", quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_bad"
+    )
+    placed = _placed(records.select(source, *MANIFEST_COLUMNS, "_bad"), uris)
+    return _typed(placed, {c: F.col(c) for c in MANIFEST_COLUMNS}, F.col("_bad").isNotNull(), ["_file"])
 
 
 def typed_rows(lines: DataFrame) -> DataFrame:
     """Manifest rows of ``lines`` (value and others) with their types, and
     ``_broken`` for those that no load accepts."""
-    types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
     other = [c for c in lines.columns if c != "value"]
     raw = lines.select(*other, csv_fields(F.col("value")).alias("_f"))
     text = {c: F.get("_f", F.lit(i)) for i, c in enumerate(MANIFEST_COLUMNS)}
+    return _typed(raw, text, F.size("_f") != len(MANIFEST_COLUMNS), other)
+
+
+def _typed(raw: DataFrame, text: dict[str, Column], broken: Column, other: list[str]) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in CATALOG_SCHEMA}
     typed = {c: text[c].try_cast(types[c]) for c in MANIFEST_COLUMNS}
-    broken = (F.size("_f") != len(MANIFEST_COLUMNS)) | (F.length(text["hash"]) > 40)
+    broken = broken | (F.length(text["hash"]) > 40)
     for c in MANIFEST_COLUMNS:
         broken = broken | typed[c].isNull()
     return raw.select(
@@ -115,7 +130,11 @@ def typed_rows(lines: DataFrame) -> DataFrame:
 
 
 def load_catalog(
-    spark: SparkSession, paths: Sequence[str], existing: DataFrame | None = None, start: int | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    existing: DataFrame | None = None,
+    start: int | None = None,
+    multiline: bool = False,
 ) -> LoadResult:
     """Append manifest files to ``existing`` and report a status per file.
 
@@ -123,6 +142,11 @@ def load_catalog(
     field or a full path that is already taken fails as a whole and ends the
     load; files before it stay loaded, later ones are not reached. Ids begin at
     ``start``, the stored next id; without it, above the ids ``existing`` holds.
+
+    Rows are parsed once and kept, typed, in the shared folder; later steps read
+    the columns they need from there. With ``multiline`` a quoted field may hold
+    line breaks and blank lines are skipped; a file is then read by one task, as
+    it cannot be split at line ends.
     """
     uris = existing_paths(spark, paths)
     present = list(uris)
@@ -136,7 +160,10 @@ def load_catalog(
         status = skipped.select("path", F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("row_count"))
         return LoadResult(existing if existing is not None else empty, status, first_id)
 
-    rows = _read_files(spark, list(uris.values()), present)
+    parsed = scratch_path(spark, "parsed")
+    read = _read_files(spark, list(uris.values()), present, multiline)
+    read.write.parquet(parsed)
+    rows = spark.read.schema(read.schema).parquet(parsed)
     per_path = (
         rows.withColumn("full_path", path_fn.full_path("base_path", "file_path"))
         .groupBy("full_path", "_file")

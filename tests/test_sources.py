@@ -356,3 +356,26 @@ def test_session_settings(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert shared_dir(spark) == named
+
+
+def test_quoted_line_breaks_load_on_demand(spark, tmp_path):
+    broken = 'h1\t2020-01-01T00:00:00\t1\ttext/plain\t/b\t"a\nb ""c"""'
+    path = write(tmp_path / "1.tsv", [broken, line(2, "d")])
+    assert [r.status for r in load.load_catalog(spark, [path]).status.collect()] == ["failed"]
+    result = load.load_catalog(spark, [path], multiline=True)
+    assert [(r.status, r.row_count) for r in result.status.collect()] == [("loaded", 2)]
+    assert 'a\nb "c"' in {r.file_path for r in result.catalog.collect()}
+    short = write(tmp_path / "2.tsv", [broken, "h\t2020-01-01T00:00:00\t1"])
+    assert [r.status for r in load.load_catalog(spark, [short], multiline=True).status.collect()] == ["failed"]
+
+
+def test_files_belong_to_the_closest_argument(spark, tmp_path):
+    inner = tmp_path / "in" / "deep"
+    inner.mkdir(parents=True)
+    write(tmp_path / "in" / "1.tsv", [line(1, "a"), line(2, "b")])
+    write(inner / "2.tsv", [line(3, "c")])
+    other = write(tmp_path / "3.tsv", [line(4, "d")])
+    result = load.load_catalog(spark, [f"{tmp_path}/in/", str(inner), other])
+    counts = {r.path: (r.status, r.row_count) for r in result.status.collect()}
+    assert counts[f"{tmp_path}/in/"] == ("loaded", 2) and counts[str(inner)] == ("loaded", 1)
+    assert counts[other] == ("loaded", 1)
