@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import copyledger
-from copyledger.session import ensure_checkpoint_dir
+from copyledger.session import scratch_path
 
 # Text that one step of a task works on at a time, in characters.
 BLOCK_CHARS = 4_000_000
@@ -37,10 +37,12 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that
-    later steps neither repeat its work nor depend on lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as a Parquet table to the shared folder and read back, so that
+    later steps neither repeat its work nor depend on lost executors, and read
+    only the columns they need in as many tasks as its size asks for."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

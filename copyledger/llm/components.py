@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     smallest vertex that can be reached.
 
     Vertices are longs. Edges with a null end and loops are left out, repeated
-    ones count once. Every round is written to the checkpoint folder; rounds
+    ones count once. Every round is written to the shared folder; rounds
     grow with the logarithm of the component size. Raises if ``max_rounds`` do
     not settle it.
     """
