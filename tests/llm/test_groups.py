@@ -129,6 +129,33 @@ def test_chunks_resist_insertions():
     assert len(before - after) < 0.06 * len(before)
 
 
+def passages(rng):
+    """51 words each: of one to four letters, prose, and of few distinct words."""
+    short = [" ".join("".join(rng.choices("abcdefghij", k=n)) for _ in range(51)) for n in (1, 2, 3, 4) for _ in range(15)]
+    few = [" ".join(rng.choices([prose(rng, 1) for _ in range(k)], k=51)) for k in (2, 5, 10, 19) for _ in range(5)]
+    periodic = [" ".join((w * 51)[:51]) for w in (["la"], ["la", "lo"], ["one", "two", "three"], ["x"])]
+    return short + few + periodic + [prose(rng, 51) for _ in range(40)]
+
+
+def test_passages_of_51_words_hold_a_common_chunk():
+    rng = random.Random(16)
+    for passage in passages(rng):
+        one, two = (set(substrings.chunks(f"{prose(rng, n)} {passage} {prose(rng, 60)}".encode())[2].tolist()) for n in (33, 48))
+        assert one & two, passage
+
+
+def test_passages_of_51_words_go_to_their_ends(docs):
+    rng = random.Random(17)
+    rows, held = [], {}
+    for i, passage in enumerate(passages(rng)):
+        parts = [(f"{prose(rng, 40 + k)} {k}", f"{k} {prose(rng, 40)}") for k in range(2)]
+        rows += [(1000 * k + i, f"{a} {passage} {b}") for k, (a, b) in enumerate(parts)]
+        held[1000 + i] = " ".join(parts[1])
+    found = {r.doc_id: r.text for r in substrings.dedup_substrings(docs(*rows)).collect()}
+    assert all(found[i] == text for i, text in rows if i < 1000)
+    assert {i: found[i] for i in held} == held
+
+
 def test_fingerprints(docs, odd_rows):
     rng = random.Random(8)
     rows = [r for r in odd_rows if r[0] not in (None, 7)] + [(i, prose(rng, 80)) for i in range(20, 60)] + [(7, "x y"), (7, "x y"), (60, "x y")]
