@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.llm.common import map_arrow, read_table, settled, text_blocks
@@ -53,8 +53,11 @@ def _signatures(bands: int, rows: int, width: int) -> Callable:
                 sizes.append(len(shingles))
                 sigs.append(signature(shingles, a, b).tobytes() if len(shingles) else None)
             yield pa.record_batch(
-                [pa.array(cols["doc_id"], pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
-                ["doc_id", "key", "n_shingles", "sig"],
+                [
+                    *(pa.array(cols[c], pa.int64()) for c in ("doc_id", "row_key")), pa.array(keys, pa.binary()),
+                    pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
+                ],
+                ["doc_id", "row_key", "key", "n_shingles", "sig"],
             )
 
     return run
@@ -65,7 +68,7 @@ def _sets(width: int) -> Callable:
         for cols, texts in text_blocks(batches):
             hashes = word_hashes([words_of(t) for t in texts])
             sets = [shingle_set(h, width).astype("<u8").tobytes() for h in hashes]
-            yield pa.record_batch([pa.array(cols["doc_id"], pa.int64()), pa.array(sets, pa.binary())], ["id", "value"])
+            yield pa.record_batch([pa.array(cols["row_key"], pa.int64()), pa.array(sets, pa.binary())], ["id", "value"])
 
     return run
 
@@ -220,42 +223,37 @@ def mixed_links(entries: DataFrame, components: DataFrame, sets: Callable[[DataF
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "rep", "component")
     )
-    wanted = sets(open_.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = sets(open_.select(F.col("rep").alias("row_key")).distinct())
     keys = ["bucket", "b1", "b2"]
     full = open_.join(wanted, open_.rep == wanted.id).select(*keys, "side", "rep", "component", "value")
     dealt = full.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.transform(map_arrow, _bucket_links(percent), "u long, v long")
 
 
-def minhash_components(
-    docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text).
+def _row_key() -> Column:
+    """Identifies a row: the hash of doc_id and text."""
+    return F.xxhash64("doc_id", "text")
 
-    Texts are compared by their sets of ``width``-word shingles and linked where
-    100 * intersection >= ``percent`` * union, checked on the full sets. Texts of
-    equal words form one class first; its smallest doc_id stands for it. In each
-    band bucket every class is compared with one leader, by signature and then by
-    set; after that, classes of a bucket in different components are compared by
-    set, so that no candidate link is lost and a large group of near copies
-    sends each set to a few tasks instead of all its pairs. At a similarity of 0.85 a
-    pair shares no bucket with probability 8e-7, at 0.80 with 7e-5.
 
-    Null and empty texts have an empty set, link with nothing and are kept. A
-    null doc_id takes no part: component_id is null and the row is kept. Rows
-    repeating a doc_id are each placed by their own words. Other columns are
-    ignored.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+def _components(docs: DataFrame, percent: int, bands: int, rows: int, width: int) -> DataFrame:
+    """Rows of ``minhash_components`` with their row_key. Classes of equal words go by the
+    row_key of their first row, as a doc_id may stand on rows of different words."""
+    texts = docs.select("doc_id", "text", _row_key().alias("row_key"))
     table = settled(
-        texts.transform(map_arrow, _signatures(bands, rows, width), "doc_id long, key binary, n_shingles long, sig binary")
+        texts.transform(
+            map_arrow, _signatures(bands, rows, width), "doc_id long, row_key long, key binary, n_shingles long, sig binary"
+        )
     )
     known = table.where("key is not null and doc_id is not null")
-    reps = settled(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    first = F.min(F.struct("doc_id", "row_key"))
+    reps = settled(
+        known.groupBy("key")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+        .select("key", F.col("first.doc_id").alias("least"), F.col("first.row_key").alias("rep"), "copies")
+    )
 
     band = F.xxhash64(F.col("band"), F.substring("sig", F.col("band") * (4 * rows) + 1, 4 * rows))
-    own = known.join(reps, "key").where("doc_id = rep").select("rep", "copies", "sig")
+    own = known.join(reps, "key").where("row_key = rep").select("rep", "copies", "sig")
     entries = settled(
         own.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).select(
             band.alias("bucket"), "rep", "copies"
@@ -275,17 +273,17 @@ def minhash_components(
         .select("leader", F.col("rep").alias("member"))
         .distinct()
     )
-    sigs = known.select(F.col("doc_id").alias("id"), F.col("sig").alias("value"))
+    sigs = known.select(F.col("row_key").alias("id"), F.col("sig").alias("value"))
     share = percent / 100
     slack = 4 * math.sqrt(share * (1 - share) / (bands * rows))
     alike = _agree(math.floor(max(0.0, share - slack) * bands * rows))
 
     def sets(wanted: DataFrame) -> DataFrame:
-        needed = texts.join(wanted, "doc_id").select("doc_id", "text")
+        needed = texts.join(wanted, "row_key").select("row_key", "text")
         return needed.transform(map_arrow, _sets(width), "id long, value binary")
 
     close = settled(star_compare(stars, sigs, alike))
-    ends = close.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
+    ends = close.select(F.explode(F.array("leader", "member")).alias("row_key")).distinct()
     links = settled(
         star_compare(close, sets(ends), _overlap(percent)).select(F.col("leader").alias("u"), F.col("member").alias("v"))
     )
@@ -294,16 +292,41 @@ def minhash_components(
     if not more.isEmpty():
         linked = connected_components(links.unionByName(more))
 
-    placed = reps.join(linked, reps.rep == linked.id, "left").select("key", F.coalesce("component", "rep").alias("root"))
+    rooted = reps.join(linked, reps.rep == linked.id, "left").select("key", "least", F.coalesce("component", "rep").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = join_on_groups(rooted, named, ["root"]).select("key", "component_id")
     return (
-        join_on_groups(known.select("doc_id", "key", "n_shingles"), placed, ["key"])
-        .select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+        join_on_groups(known.select("doc_id", "row_key", "key", "n_shingles"), placed, ["key"])
+        .select("doc_id", "row_key", "n_shingles", "component_id")
         .unionByName(
-            table.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+            table.where("key is null or doc_id is null").select(
+                "doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id")
+            )
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
+def minhash_components(
+    docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text).
+
+    Texts are compared by their sets of ``width``-word shingles and linked where
+    100 * intersection >= ``percent`` * union, checked on the full sets. Texts of
+    equal words form one class first; its smallest doc_id stands for it. In each
+    band bucket every class is compared with one leader, by signature and then by
+    set; after that, classes of a bucket in different components are compared by
+    set, so that no candidate link is lost and a large group of near copies
+    sends each set to a few tasks instead of all its pairs. At a similarity of 0.85 a
+    pair shares no bucket with probability 8e-7, at 0.80 with 7e-5.
+
+    Null and empty texts have an empty set, link with nothing and are kept. A
+    null doc_id takes no part: component_id is null and the row is kept. Rows
+    repeating a doc_id are each placed by their own words. Other columns are
+    ignored.
+    """
+    return _components(docs, percent, bands, rows, width).drop("row_key")
+
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(read_table(spark, sf_dir, "documents"))
@@ -311,5 +334,6 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, at a similarity of 0.8."""
-    gone = minhash_components(docs, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = _components(docs, 80, BANDS, ROWS, WIDTH).where("not kept").select("doc_id", F.col("row_key").alias("_row_key"))
+    keyed = docs.select("*", _row_key().alias("_row_key"))
+    return keyed.join(gone.distinct(), ["doc_id", "_row_key"], "left_anti").select(docs.columns)

@@ -68,6 +68,19 @@ def test_minhash(spark, docs, odd_rows):
     assert minhash.minhash_components(docs()).count() == 0
 
 
+def test_minhash_places_rows_of_one_doc_id_by_their_own_words(spark, docs):
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(3))
+    near = b.rsplit(" ", 1)[0]
+    rows = [(3, a), (5, a), (5, b), (5, c), (2, near), (9, f"{c} more")]
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.minhash_components(docs(*rows)).collect()}
+    assert found == {
+        (3, 116, 3, True), (5, 116, 3, False), (5, 116, 2, False), (5, 116, 5, True), (2, 115, 2, True), (9, 117, 5, False),
+    }
+    left = minhash.minhash_stage(spark, docs(*rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(3, a), (5, c), (2, near)])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(20, 64))
