@@ -72,27 +72,57 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*found)
 
 
+def _without_dots(rest: Column) -> Column:
+    """A path and query with the segments . and .. resolved."""
+    path = F.regexp_extract(rest, r"\A[^?#]*", 0)
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda have, part: F.when(part == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0))))
+        .when(part == ".", have)
+        .otherwise(F.concat(have, F.array(part))),
+    )
+    closed = F.when(path.rlike(r"/\.\.?\z") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), closed, F.regexp_extract(rest, r"\A[^?#]*(.*)", 1))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), clean).otherwise(rest)
+
+
 def _resolved(target: Column, url: Column) -> Column:
-    """``target`` as an absolute url; null where it is relative to a folder."""
+    """``target`` of a link on the page ``url`` as an absolute url; null where it
+    is a fragment, has another scheme (mailto:) or the page has no host."""
     target = F.trim(target)
+    path = url_path(url)
+    page = F.when(path == "", F.lit("/")).otherwise(path)
+    folder = F.regexp_extract(page, r"(?s)\A.*/", 0)
+    rest = (
+        F.when(target.startswith("/"), target)
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(~target.startswith("#") & ~target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), F.concat(folder, target))
+    )
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), url_host(url), target))
+        .when(url_host(url) != "", F.concat(F.lit("http://"), url_host(url), _without_dots(rest)))
     )
 
 
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>])))[^>]*>"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(source, target) urls: canonical links and immediate redirects that the
-    html of ``pages`` (url, html) declares."""
-    html = F.col("html")
-    canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>""", 0)
-    onward = F.regexp_extract(_attribute(refresh, "content"), r"(?i)\A\s*\d+\s*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
-    targets = F.array(_attribute(canonical, "href"), onward)
+    html of ``pages`` (url, html) declares, of all such tags."""
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    onward = lambda tag: F.regexp_extract(
+        _attribute(tag, "content"), r"(?i)\A\s*\d+\s*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1
+    )
+    targets = F.concat(F.transform(tags(_CANONICAL), lambda tag: _attribute(tag, "href")), F.transform(tags(_REFRESH), onward))
     declared = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
     links = declared.select("url", F.explode(targets).alias("target")).where("target <> ''")
-    return links.select(F.col("url").alias("source"), _resolved(F.col("target"), F.col("url")).alias("target")).where(
+    target = F.regexp_replace("target", "(?i)&amp;", "&")
+    return links.select(F.col("url").alias("source"), _resolved(target, F.col("url")).alias("target")).where(
         "target is not null"
     )
 

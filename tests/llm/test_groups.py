@@ -216,6 +216,20 @@ def test_url_rules_and_aliases(spark):
     assert urls.url_verdicts(table.where("false")).count() == 0
 
 
+def test_url_links_of_all_forms(spark):
+    base = "http://a.net/f/g/page.html?x=1"
+    html = (
+        '<link rel="alternate canonical" href="index.html"><link rel=canonical href="../up"><link rel="canonical" href="?p=1&amp;q=2">'
+        "<link href='./' rel='canonical next'><link rel=canonical href=/r/./s/../t><link rel=canonical href='#top'>"
+        '<link rel="canonical" href="mailto:x@y.z"><link rel="noncanonical" href="no"><link rel="canonical" href="../../../z/..">'
+        '<meta http-equiv="refresh" content="0; url=next?u=http://b.net/"><meta http-equiv=refresh content="1;url=//c.net/">'
+    )
+    pages = spark.createDataFrame([(base, html), ("http://bare.net", '<link rel=canonical href="x">'), ("none", '<link rel=canonical href="x">')], "url string, html string")
+    found = sorted((r.source, r.target) for r in urls.page_links(pages).collect())
+    ends = ["f/g/index.html", "f/up", "f/g/page.html?p=1&q=2", "f/g/", "r/t", "", "f/g/next?u=http://b.net/"]
+    assert found == sorted([(base, f"http://a.net/{e}") for e in ends] + [(base, "http://c.net/"), ("http://bare.net", "http://bare.net/x")])
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
