@@ -17,12 +17,18 @@ from copyledger.llm.components import connected_components
 from copyledger.operators.keyed import join_on_groups
 
 COSINE = 0.95
-TABLES, PROBES = 8, 3
+PROBES = 3
 # Vectors of one bucket that are compared with each other in one task.
 BLOCK = 4096
 _PAIRS = 100_000
 
 
+def tables_of(depth: int) -> int:
+    """Hash tables for codes of ``depth`` corners: a code of more corners misses more
+    near pairs in each table, so that recall asks for more tables."""
+    return 4 + 2 ** (depth + 1)
+
+
 @lru_cache(maxsize=8)
 def _signs(dim: int, n: int) -> np.ndarray:
     return np.random.default_rng(dim).choice([-1.0, 1.0], size=(n, 3, dim)).astype(np.float32)
@@ -230,7 +236,7 @@ def _links(tables: int, depth: int, probes: int, cosine: float):
 
 
 def near_vectors(
-    vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, depth: int | None = None
+    vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int = PROBES, depth: int | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding).
 
@@ -238,7 +244,7 @@ def near_vectors(
     ``cosine``. Candidates share a bucket in one of ``tables`` hash tables, as
     own bucket of one and own or probed bucket of the other; ``depth`` corners
     make a code, as many as keep random buckets small for the number of
-    vectors. Equal vectors form one class, compared once and counted by its
+    vectors, and ``tables`` grow with them. Equal vectors form one class, compared once and counted by its
     copies. A bucket block holds at most about 2 * BLOCK vectors; larger
     buckets are compared block by block. A pair is counted in the first table
     where it meets, so no list of pairs is ever made.
@@ -258,6 +264,8 @@ def near_vectors(
     if depth is None:
         n, dim = classes.agg(F.count(F.lit(1)), F.max(F.length("v"))).first()
         depth = max(1, round(math.log(max(n, 2)) / math.log(max(dim or 8, 32) / 4)))
+    if tables is None:
+        tables = tables_of(depth)
 
     own = classes.select(F.col("id").alias("vec_id"), "v", "copies")
     entries = own.select("vec_id", "v").transform(

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -111,6 +112,20 @@ def test_blocks_of_large_buckets_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, embeddings.near_vectors(table).collect())) == whole
 
 
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_recall_stays_with_depth(depth):
+    rng = np.random.default_rng(9)
+    for dim in (64, 256):
+        x, y = rng.normal(size=(2, 1000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        tables = embeddings.tables_of(depth) if hasattr(embeddings, "tables_of") else embeddings.TABLES
+        codes = embeddings.buckets(np.concatenate([x, y]), tables, depth, embeddings.PROBES)
+        first, _ = embeddings._met(codes, np.arange(1000), np.arange(1000, 2000))
+        assert (first < tables).mean() >= 0.9995
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(n))
 
