@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from copyledger.llm import (
-    bpe, embeddings, imatch, lines, minhash, packing, quality, substrings, token_counts, urls,
+    bpe, divergence, embeddings, imatch, lines, minhash, neighbours, packing, phrases, quality, substrings, token_counts,
+    urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +22,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": imatch.op8_imatch,
     "op9_minhash": minhash.op9_minhash,
     "op10_bpe": bpe.op10_bpe,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_neighbours": neighbours.op12_neighbours,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_urls": urls.OP1_SQL,
     "op2_lines": lines.OP2_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
