@@ -48,8 +48,16 @@ def _joined(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _lines(words: pa.Array, first: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The ``length`` words from every ``first`` on, joined by blanks."""
+    offsets = np.append(0, np.cumsum(length))
+    taken = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], length)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), words.take(pa.array(taken))), " ")
+
+
 def _chunks(block: pa.RecordBatch) -> pa.Table:
-    """(lang, chunk, last, n): distinct chunks of the block's pieces and their number."""
+    """(lang, chunk, own, n): chunks of the block's pieces. Phrases that start in the
+    first ``own`` words belong to the chunk, later ones to the next chunk."""
     text = pc.ascii_lower(pc.fill_null(block.column("text"), ""))
     pieces = pc.split_pattern_regex(text, PIECE_BREAKS)
     row_of = pc.list_parent_indices(pieces).to_numpy()
@@ -66,59 +74,67 @@ def _chunks(block: pa.RecordBatch) -> pa.Table:
     start[: len(windows)] |= inside & (windows % np.uint64(SPACING) == 0)
     first = np.flatnonzero(start)
     following = np.append(first[1:], len(words))
-    last = np.ones(len(first), bool)
-    last[:-1] = piece[first[1:]] != piece[first[:-1]]
-    length = following - first + np.where(last, 0, TRIGGER)
-    offsets = np.append(0, np.cumsum(length))
-    taken = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], length)
-    listed = pa.LargeListArray.from_arrays(pa.array(offsets), words.take(pa.array(taken)))
+    ends_piece = np.ones(len(first), bool)
+    ends_piece[:-1] = piece[first[1:]] != piece[first[:-1]]
+    own = following - first
     return pa.table({
         "lang": block.column("lang").take(pa.array(row_of[piece[first]])),
-        "chunk": pc.binary_join(listed, " "),
-        "last": pa.array(last),
+        "chunk": _lines(words, first, own + np.where(ends_piece, 0, TRIGGER)),
+        "own": pa.array(own),
         "n": pa.array(np.ones(len(first), np.int64)),
     })
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = Partials(["lang", "chunk", "last"], ["n"], held=400_000)
+    held = Partials(["lang", "chunk", "own"], ["n"], held=400_000)
     for block in blocks(batches, "text"):
         yield from held.add(_chunks(block))
     yield from held.finish()
 
 
-def _counted(lang: str, rows: pa.Table, size: int, marked: np.ndarray | None) -> pa.Table:
-    """(lang, phrase, hash, n) of the phrases of ``size`` words that start in the own
-    part of chunks of one language, where both shorter phrases are marked."""
-    split = pc.split_pattern(rows["chunk"].combine_chunks(), " ")
-    words, chunk = split.flatten(), pc.list_parent_indices(split).to_numpy()
-    length = pc.list_value_length(split).to_numpy().astype(np.int64)
-    ends = np.cumsum(length)
-    # Phrases from the shared window on belong to the next chunk.
-    own_ends = ends - np.where(rows["last"].to_numpy(), 0, TRIGGER)
-    encoded = words.dictionary_encode()
-    ids = encoded.indices.to_numpy().astype(np.int64)
-    hashes = _hashes(encoded.dictionary, xxhash.xxh3_64_intdigest(lang.encode()))[ids]
-
-    at = np.arange(len(words))
-    alive = (at < own_ends[chunk]) & (at + size <= ends[chunk])
-    if marked is not None:
-        slots = _joined(hashes, size - 1) & np.uint64(8 * len(marked) - 1)
-        frequent = (marked[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        both = frequent[:-1] & frequent[1:] if len(frequent) else frequent
+class _Words:
+    """Words of the chunks of one language, in order: where they stand, numbers and hashes."""
+
+    def __init__(self, lang: str, rows: pa.Table):
+        split = pc.split_pattern(rows["chunk"].combine_chunks(), " ")
+        self.texts, self.chunk = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        length = pc.list_value_length(split).to_numpy().astype(np.int64)
+        self.ends = np.cumsum(length)
+        self.own_ends = self.ends - length + rows["own"].to_numpy()
+        self.n = rows["n"].to_numpy()
+        encoded = self.texts.dictionary_encode()
+        self.distinct, self.ids = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        self.hashes = _hashes(self.distinct, xxhash.xxh3_64_intdigest(lang.encode()))[self.ids]
+
+    def marked(self, size: int, marks: np.ndarray) -> np.ndarray:
+        """Whether the phrase of ``size`` words from a position on may be frequent."""
+        slots = _joined(self.hashes, size) & np.uint64(8 * len(marks) - 1)
+        return (marks[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _counted(lang: str, rows: pa.Table, size: int, marks: np.ndarray | None) -> pa.Table:
+    """(lang, phrase, hash, n) of the phrases of ``size`` words that belong to chunks
+    of one language, where both shorter phrases are marked."""
+    words = _Words(lang, rows)
+    ids, distinct = words.ids, words.distinct
+    at = np.arange(len(ids))
+    alive = (at < words.own_ends[words.chunk]) & (at + size <= words.ends[words.chunk])
+    if marks is not None:
+        frequent = words.marked(size - 1, marks)
+        both = frequent[:-1] & frequent[1:]
         alive[: len(both)] &= both
         alive[len(both) :] = False
     at = at[alive]
     key = ids[at]
     for k in range(1, size):  # exact: a pair of numbers becomes one small number
-        pair = pa.array(key * len(encoded.dictionary) + ids[at + k]).dictionary_encode()
+        pair = pa.array(key * len(distinct) + ids[at + k]).dictionary_encode()
         key = pair.indices.to_numpy().astype(np.int64)
-    found = pa.table({"key": key, "n": rows["n"].to_numpy()[chunk[at]], "at": at})
+    found = pa.table({"key": key, "n": words.n[words.chunk[at]], "at": at})
     found = found.group_by("key", use_threads=False).aggregate([("n", "sum"), ("at", "min")])
     at = found["at_min"].to_numpy()
-    texts = [encoded.dictionary.take(pa.array(ids[at + k])) for k in range(size)]
+    texts = [distinct.take(pa.array(ids[at + k])) for k in range(size)]
     phrase = pc.binary_join_element_wise(*texts, " ") if size > 1 else texts[0]
-    every = _joined(hashes, size)
+    every = _joined(words.hashes, size)
     return pa.table({
         "lang": pa.array([lang] * len(at), pa.string()),
         "phrase": phrase,
@@ -127,21 +143,55 @@ def _counted(lang: str, rows: pa.Table, size: int, marked: np.ndarray | None) ->
     })
 
 
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    for block in blocks(batches, "chunk", CHUNK_BYTES):
+        rows = pa.Table.from_batches([block])
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            yield lang, rows.filter(pc.equal(rows["lang"], lang))
+
+
 def _level(size: int, marked):
     """Partial counts of the phrases of ``size`` words; words come with their total per
     language under the empty phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Partials(["lang", "phrase", "hash"], ["n"])
-        bits = None if marked is None else np.frombuffer(marked.value, np.uint8)
-        for block in blocks(batches, "chunk", CHUNK_BYTES):
-            rows = pa.Table.from_batches([block])
-            for lang in pc.unique(rows["lang"]).to_pylist():
-                found = _counted(lang, rows.filter(pc.equal(rows["lang"], lang)), size, bits)
-                yield from held.add(found)
-                if size == 1:
-                    whole = [[lang], [""], [0], [pc.sum(found["n"]).as_py() or 0]]
-                    yield from held.add(pa.table([pa.array(c, t) for c, t in zip(whole, found.schema.types)], found.schema.names))
+        marks = None if marked is None else np.frombuffer(marked.value, np.uint8)
+        for lang, rows in _by_lang(batches):
+            found = _counted(lang, rows, size, marks)
+            yield from held.add(found)
+            if size == 1:
+                whole = [[lang], [""], [0], [pc.sum(found["n"]).as_py() or 0]]
+                yield from held.add(pa.table([pa.array(c, t) for c, t in zip(whole, found.schema.types)], found.schema.names))
+        yield from held.finish()
+
+    return run
+
+
+def _runs(marked):
+    """Chunks cut down to runs of three words and more whose neighbours are marked as
+    frequent pairs; longer frequent phrases lie whole in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Partials(["lang", "chunk", "own"], ["n"], held=400_000)
+        marks = np.frombuffer(marked.value, np.uint8)
+        for lang, rows in _by_lang(batches):
+            words = _Words(lang, rows)
+            linked = np.zeros(len(words.ids) + 1, bool)  # with the next word; framed by False
+            linked[1:-1] = words.marked(2, marks) & (words.chunk[1:] == words.chunk[:-1])
+            first = np.flatnonzero(linked[1:] & ~linked[:-1])
+            end = np.flatnonzero(linked[:-1] & ~linked[1:]) + 1
+            own = np.minimum(words.own_ends[words.chunk[first]], end) - first
+            long = (end - first > 2) & (own > 0)
+            first, end, own = first[long], end[long], own[long]
+            yield from held.add(
+                pa.table({
+                    "lang": pa.array([lang] * len(first), pa.string()),
+                    "chunk": _lines(words.texts, first, end - first),
+                    "own": pa.array(own),
+                    "n": pa.array(words.n[words.chunk[first]]),
+                })
+            )
         yield from held.finish()
 
     return run
@@ -220,7 +270,8 @@ def collocations(
     last and first word are, so those are marked by hash in a bitmap of
     ``filter_bits`` bits (a power of two) that tasks test. The bitmap has a fixed
     size: with very many frequent phrases it keeps out less, and never a frequent
-    one. Counts are of words, not of hashes, and exact; products use decimals, so
+    one. From three words on, the dictionary is cut down to runs of marked pairs.
+    Counts are of words, not of hashes, and exact; products use decimals, so
     words of a language must stay below 10**16.
 
     Null or empty text has no words; null lang is ``und`` (an empty one is itself); rows that
@@ -230,11 +281,9 @@ def collocations(
     spark = documents.sparkSession
     importable(spark)
     read = documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    dictionary = settled(
-        read.transform(map_arrow, _parse, "lang string, chunk string, last boolean, n long")
-        .groupBy("lang", "chunk", "last")
-        .agg(F.sum("n").alias("n"))
-    )
+    typed = "lang string, chunk string, own long, n long"
+    together = lambda chunks: settled(chunks.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")))
+    dictionary = together(map_arrow(read, _parse, typed))
     levels, marked = [], None
     for size in range(1, LONGEST + 1):
         counted = (
@@ -248,6 +297,8 @@ def collocations(
         if bits is None:
             break
         marked = spark.sparkContext.broadcast(bits)
+        if size == 2:
+            dictionary = together(map_arrow(dictionary, _runs(marked), typed))
     words = levels[0].where("phrase = ''").select("lang", F.col("f").alias("n"))
     phrases = reduce(DataFrame.unionByName, levels).where("phrase <> ''").select("lang", "phrase", "words", "f")
 
