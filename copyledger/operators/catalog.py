@@ -45,7 +45,8 @@ def copy_groups(ranked_rows: DataFrame, payload: Sequence[str] = ()) -> DataFram
     """One row per (hash, mime_type): copies, bytes and the primary copy.
 
     A single partially aggregated pass, so a hot group sends one row per input
-    task. ``payload`` names further columns of the primary copy to keep.
+    task. ``payload`` names further columns of the primary copy to keep. The
+    struct makes it a sort aggregation; README gives the times of forms without.
     """
     first = F.min(F.struct(*RANK_ORDER, *payload))
     return ranked_rows.groupBy(*GROUP_KEYS).agg(
@@ -75,7 +76,7 @@ def group_size(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     """Each visible row with the number of copies in its group."""
     rows = with_base_paths(catalog, base_paths)
     counts = rows.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("grp_size"))
-    return join_on_groups(rows, counts, GROUP_KEYS)
+    return join_on_groups(rows, counts, GROUP_KEYS, nulls=True)
 
 
 def rank_in_group(catalog: DataFrame, base_paths: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def files(
         groups = number_groups(
             copy_groups(visible).select(*GROUP_KEYS, F.col("primary.id").alias("_primary_id")), digests
         )
-        ranked = join_on_groups(rows, groups, GROUP_KEYS).withColumn(
+        ranked = join_on_groups(rows, groups, GROUP_KEYS, nulls=True).withColumn(
             "disposition", disposition(F.col("id") == F.col("_primary_id"))
         )
         return ranked.select(*FILES_COLUMNS)

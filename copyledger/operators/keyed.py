@@ -11,18 +11,27 @@ from pyspark.sql import Window as W
 from copyledger.functions import ColumnLike, as_col
 from copyledger.session import ensure_checkpoint_dir
 
-def join_on_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_on_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", nulls: bool = False
+) -> DataFrame:
     """Join ``rows`` to ``groups``, which has one row per ``keys`` value.
 
     ``groups`` usually leaves a groupBy on the same keys and would be joined in
     place; then adaptive execution cannot split a skewed partition of ``rows``.
     The extra hash key makes both inputs plain shuffle stages, so a hot key is
-    split over many tasks while its single group row is re-read by each.
+    split over many tasks while its single group row is re-read by each. With
+    ``nulls`` a null key meets the group of its null, as in a groupBy.
     """
     keys = list(keys)
     left = rows.withColumn("_key_hash", F.xxhash64(*keys))
-    right = groups.withColumn("_key_hash", F.xxhash64(*keys))
-    return left.join(right, ["_key_hash", *keys], how).drop("_key_hash")
+    if not nulls:
+        return left.join(groups.withColumn("_key_hash", F.xxhash64(*keys)), ["_key_hash", *keys], how).drop("_key_hash")
+    renamed = [F.col(c).alias(f"_group_{c}" if c in keys else c) for c in groups.columns]
+    right = groups.select(F.xxhash64(*keys).alias("_groups_key_hash"), *renamed)
+    same = F.col("_key_hash") == F.col("_groups_key_hash")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_group_{c}"))
+    return left.join(right, same, how).drop("_key_hash", "_groups_key_hash", *[f"_group_{c}" for c in keys])
 
 
 def hex_bucket(h: ColumnLike, width: int = 4) -> Column:
@@ -41,7 +50,7 @@ def hex_bucket(h: ColumnLike, width: int = 4) -> Column:
         .when(following < "a", F.lit(":"))
         .otherwise(F.lit("g"))
     )
-    return F.concat(prefix, marker)
+    return F.coalesce(F.concat(prefix, marker), F.lit(""))
 
 
 def dense_number(df: DataFrame, bucket: Column, order: Sequence[ColumnLike], name: str, start: int = 1) -> DataFrame:
@@ -93,16 +102,6 @@ def range_number(df: DataFrame, order: Sequence[str], name: str, start: int = 1)
     return numbered.withColumn(name, position + F.lit(start)).drop("_pos", "_range", "_first", "_before")
 
 
-def descending(text: ColumnLike) -> Column:
-    """Text that sorts ascending where the input sorts descending (by bytes).
-
-    The hex digits are mirrored; the closing 'G' puts a longer text before its
-    own prefix. Lets one min(struct(...)) mix both directions.
-    """
-    mirrored = F.translate(F.hex(as_col(text).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
-    return F.concat(mirrored, F.lit("G"))
-
-
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key. The limit of one is applied before the shuffle
     too, so a hot key sends one row per input task."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
 from copyledger.operators.catalog import GROUP_KEYS, mime_filter
-from copyledger.operators.keyed import descending, join_on_groups
+from copyledger.operators.keyed import join_on_groups, top_per_key
 from copyledger.schema import MANIFEST_COLUMNS
 
 VIEW_KEYS = ["hash", "major_type"]
@@ -97,16 +97,10 @@ def select_scope(reference: DataFrame, data: DataFrame | None = None, majors: It
 def select_best(scope: DataFrame) -> DataFrame:
     """Best row of each (hash, mime_type) with its group size: oldest first,
     then the higher base path, then the higher file path."""
-    rest = [c for c in MANIFEST_COLUMNS if c not in GROUP_KEYS]
-    order = F.struct(
-        "last_modified",
-        descending("base_path").alias("_base"),
-        descending("file_path").alias("_file"),
-        *[c for c in rest if c != "last_modified"],
-    )
-    groups = scope.groupBy(*GROUP_KEYS).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    best = groups.select(*GROUP_KEYS, *[F.col(f"_best.{c}").alias(c) for c in rest], "group_size")
-    return best.select(*MANIFEST_COLUMNS, "group_size")
+    order = [F.asc("last_modified"), F.desc_nulls_first("base_path"), F.desc_nulls_first("file_path"), F.asc("file_size")]
+    best = top_per_key(scope.select(*MANIFEST_COLUMNS), GROUP_KEYS, order)
+    counts = scope.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("group_size"))
+    return join_on_groups(best, counts, GROUP_KEYS, nulls=True).select(*MANIFEST_COLUMNS, "group_size")
 
 
 def select_flagged(scope: DataFrame) -> DataFrame:

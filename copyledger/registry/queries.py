@@ -498,8 +498,8 @@ def lookup_by_id(spark, sf):
     SELECT family, wanted, count(*) AS row_count, CAST(sum(file_size) AS BIGINT) AS total_bytes FROM (
         SELECT v.family, w.wanted, f.file_size
         FROM files f
-        JOIN (VALUES ('files', NULL), ('media', 'image'), ('media', 'video'), ('images', 'image'),
-                     ('videos', 'video')) v(family, category) ON v.category IS NULL OR v.category = f.category
+        JOIN (VALUES ('files', NULL), ('media', 'image'), ('media', 'video'), ('media', 'audio'), ('images', 'image'),
+                     ('videos', 'video'), ('audio', 'audio')) v(family, category) ON v.category IS NULL OR v.category = f.category
         JOIN (VALUES ('any'), ('primary'), ('redundant')) w(wanted) ON w.wanted IN ('any', f.disposition))
     GROUP BY ALL""")
 def media_family(spark, sf):

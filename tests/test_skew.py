@@ -203,8 +203,31 @@ def test_selection_against_brute_force(skewed):
     assert flagged == {b[:2] for b in best}
 
 
-def test_descending_mirrors_byte_order(spark):
-    values = ["", "a", "ab", "abc", "b", "B", "é", "z/", "z"]
-    df = spark.createDataFrame([(v,) for v in values], "v string")
-    got = [r.v for r in df.orderBy(keyed.descending("v")).collect()]
-    assert got == sorted(values, key=lambda v: v.encode(), reverse=True)
+def test_null_keys_form_groups(spark, bases):
+    """Catalogs from elsewhere may hold rows without a hash or type; both forms of
+    ``files`` keep them, grouped as nulls."""
+    rows = [(i, None if i % 3 == 0 else HOT, None if i % 2 else "image/png", i % 4, f"/v{i % 4}", f"f{i}") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "id bigint, hash string, mime_type string, s int, base_path string, file_path string")
+    times = F.timestamp_seconds(F.col("s") + 1_700_000_000).cast("timestamp_ntz")
+    table = as_catalog(df.withColumn("last_modified", times).withColumn("file_size", F.col("id")))
+    mc = spark.createDataFrame([("image/png", "image")], "mime_type string, category string")
+    expected = {(i, "primary" if rn == 1 else "redundant") for i, rn in as_set(windowed(table, bases), "id", "rn")}
+    assert as_set(c.files(table, bases, mc, with_group_num=False), "id", "disposition") == expected
+    for digests in (True, False):
+        numbered = as_set(c.files(table, bases, mc, digests=digests), "id", "disposition", "group_num")
+        assert {(i, d) for i, d, _ in numbered} == expected
+        assert {g for *_, g in numbered} == {1, 2, 3, 4}
+    assert as_set(c.group_size(table, bases), "id", "grp_size") == as_set(windowed(table, bases), "id", "n")
+
+
+def test_best_rows_by_plain_descending_order(spark):
+    rows = [(h, t, s, "a/b", b, f) for h in ("x", None) for t in ("1", "2", None) for s in (1, None)
+            for b in ("", "b", "ba", "é", None) for f in ("z", "z/", None)]
+    scope = spark.createDataFrame(
+        rows, "hash string, last_modified string, file_size bigint, mime_type string, base_path string, file_path string"
+    ).repartition(5)
+    for best in select_best(scope).collect():
+        assert best.group_size == 90
+        assert tuple(best)[1:6] == (None, None, "a/b", None, None)
+    plain = select_best(scope.na.drop()).collect()
+    assert [tuple(r) for r in plain] == [("x", "1", 1, "a/b", "é", "z/", 16)]
