@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import mime, sizes
+from copyledger.operators.bucketed import Catalog, all_rows, per_part
 from copyledger.operators.keyed import dense_number, hex_bucket, join_on_groups, range_number, rank_in_key, top_per_key
 
 GROUP_KEYS = ["hash", "mime_type"]
@@ -72,11 +73,15 @@ def group_num(catalog: DataFrame, base_paths: DataFrame, digests: bool = True) -
     return number_groups(groups, digests)
 
 
-def group_size(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def group_size(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Each visible row with the number of copies in its group."""
-    rows = with_base_paths(catalog, base_paths)
-    counts = rows.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("grp_size"))
-    return join_on_groups(rows, counts, GROUP_KEYS, nulls=True)
+
+    def sized(part: DataFrame, in_place: bool) -> DataFrame:
+        rows = with_base_paths(part, base_paths)
+        counts = rows.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("grp_size"))
+        return join_on_groups(rows, counts, GROUP_KEYS, nulls=True, in_place=in_place)
+
+    return per_part(catalog, sized)
 
 
 def rank_in_group(catalog: DataFrame, base_paths: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -93,8 +98,17 @@ def primary_ids(visible: DataFrame) -> DataFrame:
     return copy_groups(visible).select(F.col("primary.id").alias("id"))
 
 
+def _marked(visible: DataFrame, in_place: bool) -> DataFrame:
+    """Visible rows with ``_primary``, true for the primary copy and null or false else."""
+    if in_place:
+        groups = copy_groups(visible).select(*GROUP_KEYS, F.col("primary.id").alias("_primary_id"))
+        ranked = join_on_groups(visible, groups, GROUP_KEYS, nulls=True, in_place=True)
+        return ranked.withColumn("_primary", F.col("id") == F.col("_primary_id")).drop("_primary_id")
+    return visible.join(primary_ids(visible).withColumn("_primary", F.lit(True)), "id", "left")
+
+
 def files(
-    catalog: DataFrame,
+    catalog: Catalog,
     base_paths: DataFrame,
     categories: DataFrame,
     with_group_num: bool = True,
@@ -103,37 +117,50 @@ def files(
     """Every visible row with its category and disposition.
 
     ``with_group_num=False`` skips the global numbering; reports that do not
-    show it should ask for that. For ``digests`` see :func:`number_groups`.
+    show it should ask for that. Over a bucketed catalog it needs no shuffle of
+    rows but those of crowded groups. For ``digests`` see :func:`number_groups`.
     """
-    visible = with_base_paths(catalog, base_paths)
-    rows = with_categories(visible, categories)
     if with_group_num:
         groups = number_groups(
-            copy_groups(visible).select(*GROUP_KEYS, F.col("primary.id").alias("_primary_id")), digests
+            per_part(
+                catalog,
+                lambda part, _: copy_groups(with_base_paths(part, base_paths)).select(
+                    *GROUP_KEYS, F.col("primary.id").alias("_primary_id")
+                ),
+            ),
+            digests,
         )
+        rows = with_categories(with_base_paths(all_rows(catalog), base_paths), categories)
         ranked = join_on_groups(rows, groups, GROUP_KEYS, nulls=True).withColumn(
             "disposition", disposition(F.col("id") == F.col("_primary_id"))
         )
         return ranked.select(*FILES_COLUMNS)
-    marks = primary_ids(visible).withColumn("_primary", F.lit(True))
-    ranked = rows.join(marks, "id", "left").withColumn("disposition", disposition(F.col("_primary")))
+    marked = per_part(catalog, lambda part, in_place: _marked(with_base_paths(part, base_paths), in_place))
+    ranked = with_categories(marked, categories).withColumn("disposition", disposition(F.col("_primary")))
     return ranked.select(*[c for c in FILES_COLUMNS if c != "group_num"])
 
 
-def files_primary(catalog: DataFrame, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
+def files_primary(catalog: Catalog, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
     """Primary rows by per-group limit, without ranking the other copies."""
-    top = top_per_key(with_base_paths(catalog, base_paths), GROUP_KEYS, [F.col(c) for c in RANK_ORDER])
+    order = [F.col(c) for c in RANK_ORDER]
+    top = per_part(catalog, lambda part, _: top_per_key(with_base_paths(part, base_paths), GROUP_KEYS, order))
     rows = with_categories(top, categories).withColumn("disposition", F.lit("primary"))
     return rows.select(*[c for c in FILES_COLUMNS if c != "group_num"])
 
 
-def redundant_rows(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def redundant_rows(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Visible rows that are not the primary of their group."""
-    visible = with_base_paths(catalog, base_paths)
-    return visible.join(primary_ids(visible), "id", "left_anti")
+
+    def others(part: DataFrame, in_place: bool) -> DataFrame:
+        visible = with_base_paths(part, base_paths)
+        if in_place:
+            return _marked(visible, True).where("NOT _primary").drop("_primary")
+        return visible.join(primary_ids(visible), "id", "left_anti")
+
+    return per_part(catalog, others)
 
 
-def files_redundant(catalog: DataFrame, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
+def files_redundant(catalog: Catalog, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
     rows = with_categories(redundant_rows(catalog, base_paths), categories)
     return rows.withColumn("disposition", F.lit("redundant")).select(*[c for c in FILES_COLUMNS if c != "group_num"])
 

@@ -12,7 +12,12 @@ from copyledger.functions import ColumnLike, as_col
 from copyledger.session import ensure_checkpoint_dir
 
 def join_on_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", nulls: bool = False
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    nulls: bool = False,
+    in_place: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``groups``, which has one row per ``keys`` value.
 
@@ -20,9 +25,17 @@ def join_on_groups(
     place; then adaptive execution cannot split a skewed partition of ``rows``.
     The extra hash key makes both inputs plain shuffle stages, so a hot key is
     split over many tasks while its single group row is re-read by each. With
-    ``nulls`` a null key meets the group of its null, as in a groupBy.
+    ``nulls`` a null key meets the group of its null, as in a groupBy. Rows whose
+    keys lie in bounded buckets are joined ``in_place``, without that; rows with
+    null keys are then joined apart.
     """
     keys = list(keys)
+    if in_place:
+        placed = rows.join(groups, keys, how)
+        if not nulls:
+            return placed
+        some = " OR ".join(f"`{c}` IS NULL" for c in keys)
+        return placed.unionByName(join_on_groups(rows.where(some), groups.where(some), keys, how, nulls=True))
     left = rows.withColumn("_key_hash", F.xxhash64(*keys))
     if not nulls:
         return left.join(groups.withColumn("_key_hash", F.xxhash64(*keys)), ["_key_hash", *keys], how).drop("_key_hash")

@@ -6,39 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import times
+from copyledger.operators.bucketed import Catalog, per_part
 from copyledger.operators.catalog import GROUP_KEYS, copy_groups, with_base_paths, with_categories
 from copyledger.operators.keyed import join_on_groups
 
 
 def vault_dupes(
-    catalog: DataFrame, base_paths: DataFrame, vault: str, mime_prefix: str | None = None, full: bool = False
+    catalog: Catalog, base_paths: DataFrame, vault: str, mime_prefix: str | None = None, full: bool = False
 ) -> DataFrame:
     """Copies outside ``vault`` of the groups whose primary lies in it.
 
     There is at most one primary per group, so the result stays linear in the
     catalog. Ordered by age difference descending, hash, MIME type.
     """
-    visible = with_base_paths(catalog, base_paths)
-    groups = copy_groups(visible, ["base_path", "full_path"]).where(
-        (F.col("primary.base_path") == vault) & (F.col("copies") > 1)
-    )
-    others = visible.where(F.col("base_path") != vault)
-    if mime_prefix is not None:
-        groups = groups.where(F.startswith("mime_type", F.lit(mime_prefix)))
-        others = others.where(F.startswith("mime_type", F.lit(mime_prefix)))
-    originals = groups.select(
-        *GROUP_KEYS,
-        F.col("primary.full_path").alias("vault_full_path"),
-        F.col("primary.last_modified").alias("vault_last_modified"),
-    )
-    copies = others.select(
-        *GROUP_KEYS,
-        F.col("full_path").alias("other_full_path"),
-        F.col("last_modified").alias("dupe_last_modified"),
-        F.col("base_path").alias("other_base_path"),
-    )
+
+    def pairs_of(part: DataFrame, in_place: bool) -> DataFrame:
+        visible = with_base_paths(part, base_paths)
+        if mime_prefix is not None:  # part of the group key
+            visible = visible.where(F.startswith("mime_type", F.lit(mime_prefix)))
+        originals = (
+            copy_groups(visible, ["base_path", "full_path"])
+            .where((F.col("primary.base_path") == vault) & (F.col("copies") > 1))
+            .select(
+                *GROUP_KEYS,
+                F.col("primary.full_path").alias("vault_full_path"),
+                F.col("primary.last_modified").alias("vault_last_modified"),
+            )
+        )
+        copies = visible.where(F.col("base_path") != vault).select(
+            *GROUP_KEYS,
+            F.col("full_path").alias("other_full_path"),
+            F.col("last_modified").alias("dupe_last_modified"),
+            F.col("base_path").alias("other_base_path"),
+        )
+        return join_on_groups(copies, originals, GROUP_KEYS, in_place=in_place)
+
     pairs = (
-        join_on_groups(copies, originals, GROUP_KEYS)
+        per_part(catalog, pairs_of)
         .where(F.col("other_full_path") != F.col("vault_full_path"))
         .withColumn("delta_days", times.delta_days("dupe_last_modified", "vault_last_modified"))
         .where("delta_days >= 0")
@@ -91,10 +95,13 @@ def unvaulted_primaries(catalog: DataFrame, base_paths: DataFrame, categories: D
     )
 
 
-def oldest_and_vault_pick(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def oldest_and_vault_pick(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Per group the oldest copy and the preferred vault copy (priority, id),
     both from one aggregation."""
-    visible = with_base_paths(catalog, base_paths)
+    return per_part(catalog, lambda part, _: _picks(with_base_paths(part, base_paths)))
+
+
+def _picks(visible: DataFrame) -> DataFrame:
     oldest = F.min(F.struct("last_modified", "priority", "id", "full_path", "is_vault"))
     pick = F.min(F.when(F.col("is_vault"), F.struct("priority", "id", "full_path", "last_modified")))
     return (
@@ -114,7 +121,7 @@ def oldest_and_vault_pick(catalog: DataFrame, base_paths: DataFrame) -> DataFram
     )
 
 
-def timestamp_drift(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def timestamp_drift(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Groups whose oldest copy is outside every vault and older than the
     preferred vault copy."""
     picks = oldest_and_vault_pick(catalog, base_paths)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import sizes
+from copyledger.operators.bucketed import Catalog, per_part
 from copyledger.operators.catalog import (
     GROUP_KEYS,
     copy_groups,
@@ -27,8 +28,8 @@ REPORT_CATEGORY_COLUMNS = [
 ]
 
 
-def _sized_groups(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
-    groups = copy_groups(with_base_paths(catalog, base_paths), ["file_size"])
+def _sized_groups(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
+    groups = per_part(catalog, lambda part, _: copy_groups(with_base_paths(part, base_paths), ["file_size"]))
     return groups.select(
         *GROUP_KEYS,
         (F.col("copies") - 1).alias("redundant"),
@@ -37,7 +38,7 @@ def _sized_groups(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
     )
 
 
-def mime_duplication_summary(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def mime_duplication_summary(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Per MIME type: primaries, redundant copies, their size and share."""
     per_mime = _sized_groups(catalog, base_paths).groupBy("mime_type").agg(
         F.count(F.lit(1)).alias("primary_count"),
@@ -54,7 +55,7 @@ def mime_duplication_summary(catalog: DataFrame, base_paths: DataFrame) -> DataF
     )
 
 
-def redundant_by_mime(catalog: DataFrame, base_paths: DataFrame, by_hash: bool = False) -> DataFrame:
+def redundant_by_mime(catalog: Catalog, base_paths: DataFrame, by_hash: bool = False) -> DataFrame:
     """Redundant copies and their size per MIME type, optionally per group."""
     keys = GROUP_KEYS if by_hash else ["mime_type"]
     counted = (
@@ -68,7 +69,7 @@ def redundant_by_mime(catalog: DataFrame, base_paths: DataFrame, by_hash: bool =
     )
 
 
-def category_sizes(catalog: DataFrame, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
+def category_sizes(catalog: Catalog, base_paths: DataFrame, categories: DataFrame) -> DataFrame:
     """Size of the primaries per known category."""
     primaries = _sized_groups(catalog, base_paths).select("mime_type", "primary_bytes")
     per_mime = primaries.groupBy("mime_type").agg(sizes.exact_sum("primary_bytes").alias("_b"))
@@ -113,9 +114,12 @@ def common_category(catalog: DataFrame, categories: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("file_count"), "category")
 
 
-def files_view_summary(catalog: DataFrame, base_paths: DataFrame) -> DataFrame:
+def files_view_summary(catalog: Catalog, base_paths: DataFrame) -> DataFrame:
     """Primaries, redundants and all visible rows."""
-    per_group = with_base_paths(catalog, base_paths).groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    per_group = per_part(
+        catalog,
+        lambda part, _: with_base_paths(part, base_paths).groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("_n")),
+    )
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     return per_group.agg(
         F.count(F.lit(1)).alias("primaries"),

@@ -19,6 +19,7 @@ from copyledger.registry import sql, tables
 from copyledger.registry.tables import VAULT
 from copyledger.schema import MANIFEST_COLUMNS
 from copyledger.session import scratch_path
+from copyledger.sources import bucketed
 from copyledger.sources import categories as category_source
 from copyledger.sources import inventory as inventory_source
 from copyledger.sources import load, manifest_io
@@ -494,6 +495,26 @@ def lookup_by_id(spark, sf):
     )
 
 
+def _bucketed_args(spark, sf):
+    """The catalog stored in buckets, its largest groups kept apart."""
+    path = scratch_path(spark, "bucketed")
+    table = f"copyledger_{path.rsplit('-', 1)[1]}"
+    stored = bucketed.write_bucketed(tables.catalog(spark, sf), path, table, 8, crowded_rows=4)
+    return stored, tables.base_paths(spark)
+
+
+@query("files_bucketed", "files", """
+    SELECT id, hash, mime_type, category, full_path, disposition FROM files""")
+def files_bucketed(spark, sf):
+    files = cat_ops.files(*_bucketed_args(spark, sf), tables.categories(spark), with_group_num=False)
+    return files.select("id", "hash", "mime_type", "category", "full_path", "disposition")
+
+
+@query("vault_dupes_bucketed", "dupes", "SELECT hash, mime_type, other_full_path FROM dupes")
+def vault_dupes_bucketed(spark, sf):
+    return vault.vault_dupes(*_bucketed_args(spark, sf), VAULT)
+
+
 @query("media_family", "files", """
     SELECT family, wanted, count(*) AS row_count, CAST(sum(file_size) AS BIGINT) AS total_bytes FROM (
         SELECT v.family, w.wanted, f.file_size

@@ -1,6 +1,6 @@
 """Time catalog operators on generated rows, a third of them in one content group:
-python tools/trial.py folder [million rows] [operator ...]. The rows are kept in ``folder``
-and used again."""
+python tools/trial.py folder [million rows] [bucketed] [operator ...]. The rows are kept in
+``folder`` and used again."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from copyledger.operators import catalog, vault
+from copyledger.operators.bucketed import all_rows
 from copyledger.plans import reports
 from copyledger.schema import as_catalog
 from copyledger.session import configure, literal_table
+from copyledger.sources.bucketed import open_bucketed, write_bucketed
 
 
 def generated(spark: SparkSession, rows: int):
@@ -52,6 +54,14 @@ def main(folder: str, millions: str = "10", *wanted: str) -> None:
     if not os.path.exists(f"{path}/_SUCCESS"):
         generated(spark, int(float(millions) * 1_000_000)).write.parquet(path)
     rows = spark.read.parquet(path)
+    if "bucketed" in wanted:
+        wanted = tuple(w for w in wanted if w != "bucketed")
+        if os.path.exists(f"{path}-bucketed/layout/_SUCCESS"):
+            rows = open_bucketed(spark, f"{path}-bucketed", "trial")
+        else:
+            start = time.perf_counter()
+            rows = write_bucketed(rows, f"{path}-bucketed", "trial", 64)
+            print(json.dumps({"write_bucketed": round(time.perf_counter() - start, 1)}))
     bases = literal_table(spark, [(f"/vol/v{n}", 10 * (n + 5), n == 0) for n in range(-4, 5)], ["base_path", "priority", "is_vault"])
     types = literal_table(spark, [("image/png", "image"), ("video/mp4", "video")], ["mime_type", "category"])
     operators = {
@@ -63,7 +73,7 @@ def main(folder: str, millions: str = "10", *wanted: str) -> None:
         "oldest_and_vault_pick": lambda: vault.oldest_and_vault_pick(rows, bases),
         "unvaulted_primaries": lambda: vault.unvaulted_primaries(rows, bases, types, "/vol/v0"),
     }
-    rows.write.format("noop").mode("overwrite").save()  # files into memory
+    all_rows(rows).write.format("noop").mode("overwrite").save()  # files into memory
     took = {}
     for name in wanted or operators:
         times = []
@@ -72,7 +82,7 @@ def main(folder: str, millions: str = "10", *wanted: str) -> None:
             operators[name]().write.format("noop").mode("overwrite").save()
             times.append(round(time.perf_counter() - start, 1))
         took[name] = min(times)
-    print(json.dumps({"rows": rows.count(), "seconds": took}))
+    print(json.dumps({"rows": all_rows(rows).count(), "seconds": took}))
 
 
 if __name__ == "__main__":
