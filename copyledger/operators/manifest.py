@@ -235,11 +235,18 @@ def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) ->
 
 
 def require_bases(df: DataFrame, live_bases: DataFrame) -> None:
-    """Fail when a base path of ``df`` is not among the live ones."""
-    absent = df.select("base_path").distinct().join(live_bases.select("base_path"), "base_path", "left_anti")
-    found = absent.orderBy("base_path").limit(10).toPandas()["base_path"].tolist()
-    if found:
-        raise ValueError(f"base paths missing or not mounted: {found}")
+    """Fail when a base path of ``df`` is not among the live ones, or when it is
+    marked as not wholly readable (column ``unreadable``, as scans mark it)."""
+    marked = F.col("unreadable") if "unreadable" in live_bases.columns else F.lit(0)
+    marks = live_bases.groupBy("base_path").agg(F.coalesce(F.max(marked), F.lit(0)).alias("_unreadable"))
+    doubtful = df.select("base_path").distinct().join(marks, "base_path", "left").where("coalesce(_unreadable, 1) > 0")
+    found = doubtful.orderBy("base_path").limit(10).collect()
+    absent = [r.base_path for r in found if r["_unreadable"] is None]
+    partly = [f"{r.base_path} ({r['_unreadable']} files)" for r in found if r["_unreadable"]]
+    if absent:
+        raise ValueError(f"base paths missing or not mounted: {absent}")
+    if partly:
+        raise ValueError(f"base paths with unreadable files: {partly}")
 
 
 def clean(manifest: DataFrame, inventory: DataFrame, live_bases: DataFrame, full_check: bool = False) -> DataFrame:
@@ -247,8 +254,8 @@ def clean(manifest: DataFrame, inventory: DataFrame, live_bases: DataFrame, full
 
     The cheap form tests existence only. MIME types are compared after
     parameters are cut on both sides; times are compared as timestamps.
-    Raises when a base path is not among ``live_bases``, so that an unmounted disk
-    is not taken for deleted files.
+    Raises when a base path is not among ``live_bases``, or is marked there as not
+    wholly readable, so that an unmounted disk is not taken for deleted files.
     """
     require_bases(manifest, live_bases)
     live = inventory.where("is_regular").select(

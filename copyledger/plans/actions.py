@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths, times
+from copyledger.operators.bucketed import Catalog, all_rows
 from copyledger.operators.catalog import GROUP_KEYS, redundant_rows
 from copyledger.operators.keyed import join_on_groups
-from copyledger.operators.manifest import select_best, select_flagged
+from copyledger.operators.manifest import require_bases, select_best, select_flagged
 from copyledger.schema import MANIFEST_COLUMNS
 
 
 def redundant_plan(
-    catalog: DataFrame, base_paths: DataFrame, inventory: DataFrame, prefix: str | None = None
+    catalog: Catalog, base_paths: DataFrame, inventory: DataFrame, live_bases: DataFrame, prefix: str | None = None
 ) -> DataFrame:
-    """Redundant rows with action would-remove, or stale-row when the file is gone."""
+    """Redundant rows with action would-remove, or stale-row when the file is gone.
+    Raises when a registered base path is not among ``live_bases`` or is marked there as
+    not wholly readable: its files would seem gone."""
     rows = redundant_rows(catalog, base_paths)
     if prefix is not None:
         rows = rows.where(F.startswith("full_path", F.lit(prefix)))
+    shown = all_rows(catalog).select("base_path").join(base_paths.select("base_path"), "base_path", "left_semi")
+    require_bases(shown, live_bases)
     live = inventory.where("is_regular").select("full_path", F.lit(True).alias("_live"))
     action = F.when(F.col("_live"), "would-remove").otherwise("stale-row")
     return rows.join(live, "full_path", "left").select("id", *GROUP_KEYS, "full_path", action.alias("action"))

@@ -23,6 +23,7 @@ from copyledger.sources import bucketed
 from copyledger.sources import categories as category_source
 from copyledger.sources import inventory as inventory_source
 from copyledger.sources import load, manifest_io
+from copyledger.sources.snapshots import StoredCatalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -708,6 +709,32 @@ def delete_by_id(spark, sf):
     return maintain.delete_by_id(tables.catalog(spark, sf), gone).select("id", "full_path")
 
 
+def _snapshots(spark, sf):
+    """The catalog as a stored one of which single base paths are rewritten."""
+    store = StoredCatalog(spark, scratch_path(spark, "snapshots"))
+    rows = tables.catalog(spark, sf)
+    store.create(rows, load.next_id(rows))
+    return store
+
+
+@query("snapshot_delete_by_id", "cat inv", "SELECT id, full_path FROM cat WHERE full_path IN (SELECT full_path FROM inv)")
+def snapshot_delete_by_id(spark, sf):
+    store = _snapshots(spark, sf)
+    store.delete_by_id(reconcile_exists(spark, sf))
+    return store.rows().select("id", "full_path")
+
+
+@query("snapshot_update_timestamp", "cat drift", """
+    SELECT c.id, CASE WHEN d.vault_id IS NULL THEN c.last_modified
+                      WHEN d.drift_seconds > 86400 THEN d.target_last_modified + INTERVAL 1 DAY
+                      ELSE d.target_last_modified END AS last_modified
+    FROM cat c LEFT JOIN drift d ON d.vault_id = c.id""")
+def snapshot_update_timestamp(spark, sf):
+    store = _snapshots(spark, sf)
+    store.update_timestamps(ts_fix_parse(spark, sf))
+    return store.rows().select("id", "last_modified")
+
+
 @query("delete_by_id_dry_run", "cat inv", """
     SELECT count(*) AS would_delete FROM cat WHERE full_path NOT IN (SELECT full_path FROM inv)""")
 def delete_by_id_dry_run(spark, sf):
@@ -1030,7 +1057,7 @@ def seed_categories(spark, sf):
            CASE WHEN i.full_path IS NULL THEN 'stale-row' ELSE 'would-remove' END AS action
     FROM files f LEFT JOIN inv i ON i.full_path = f.full_path AND i.is_regular WHERE disposition = 'redundant'""")
 def redundant_plan(spark, sf):
-    return actions.redundant_plan(*_catalog_args(spark, sf), tables.inventory(spark, sf))
+    return actions.redundant_plan(*_catalog_args(spark, sf), tables.inventory(spark, sf), tables.mounted_bases(spark, sf))
 
 
 @query("vault_purge_plan", "dupes inv", """

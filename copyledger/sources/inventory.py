@@ -6,9 +6,10 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.functions import ColumnLike, as_col, mime, paths, times
@@ -76,24 +77,34 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "mtime"])
 
 
+class Scan(NamedTuple):
+    """What a scan found. ``marks`` says for each scanned base path how many files
+    were seen and how many of them could not be read; those are in ``errors``."""
+
+    rows: DataFrame
+    errors: DataFrame
+    marks: DataFrame
+
+
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-1 of each file, read a chunk at a time; unreadable files are left out."""
+    """SHA-1 of each file, read a chunk at a time, or the error that prevented it."""
     for batch in batches:
-        digests = []
+        digests, errors = [], []
         for path in batch["path"]:
-            digest = hashlib.sha1()
+            digest, error = hashlib.sha1(), None
             try:
                 with open(path, "rb") as f:
                     while chunk := f.read(CHUNK):
                         digest.update(chunk)
-                digests.append(digest.hexdigest())
-            except OSError:
-                digests.append(None)
-        yield batch.assign(hash=digests)
+            except OSError as e:
+                error = f"{type(e).__name__}: {e.strerror}"
+            digests.append(None if error else digest.hexdigest())
+            errors.append(error)
+        yield batch.assign(hash=digests, error=errors)
 
 
 def _tasks(spark: SparkSession, wanted: int) -> int:
-    return min(max(wanted, spark.sparkContext.defaultParallelism), 100_000)
+    return max(wanted, spark.sparkContext.defaultParallelism)
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -116,20 +127,8 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(out).where("NOT is_dir").select("path", "length", "mtime")
 
 
-def scan_files(
-    spark: SparkSession, root: str, include: Iterable[str] = (), keep_unreadable: bool = False
-) -> DataFrame:
-    """Manifest rows of every file below ``root`` on a shared mount.
-
-    MIME types come from file names, and only wanted files are opened. Times
-    are in the session time zone, to the second. Hashing is spread by files and
-    bytes; a file is read in chunks by one task, whatever its size. Files that
-    cannot be read are left out, or with ``keep_unreadable`` are rows without a
-    hash: use that to reconcile, so that they count as present. A root or folder
-    that cannot be opened is an error.
-    """
-    root = root.rstrip("/") or "/"
-    include = list(include)
+def _hashed(spark: SparkSession, root: str, include: list[str]) -> DataFrame:
+    """Manifest rows of the files below ``root``, with ``error`` where one could not be read."""
     files = walk(spark, root).withColumn("relative", F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/")))
     kind = mime.mime_from_name("relative")
     if include:
@@ -137,19 +136,59 @@ def scan_files(
     load = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
     tasks = _tasks(spark, max(load["n"] // 20_000, load["b"] // (8 * 1024**3)))
     hashed = files.repartition(tasks, "path").mapInPandas(
-        _hash_files, "path string, length bigint, mtime bigint, relative string, hash string"
+        _hash_files, "path string, length bigint, mtime bigint, relative string, hash string, error string"
     )
-    known = hashed if keep_unreadable else hashed.where("hash IS NOT NULL")
-    return known.select(
+    return hashed.select(
         "hash",
         F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("last_modified"),
         F.col("length").alias("file_size"),
         kind.alias("mime_type"),
         F.lit(root).alias("base_path"),
         F.col("relative").alias("file_path"),
+        "error",
     )
 
 
+def scan(spark: SparkSession, root: str, include: Iterable[str] = ()) -> Scan:
+    """Scan every file below ``root`` on a shared mount, once, into the shared folder.
+
+    As :func:`scan_files`, and with the files that could not be read as ``errors``
+    (base_path, file_path, error). A file that vanished before it was read is
+    neither. Hand ``marks`` to whatever concludes from a file's absence: a scan
+    with unreadable files is refused there.
+    """
+    root = root.rstrip("/") or "/"
+    out, seen = scratch_path(spark, "scan"), Observation()
+    gone = F.startswith(F.coalesce("error", F.lit("")), F.lit("FileNotFoundError"))
+    found = _hashed(spark, root, list(include)).where(~gone)
+    found.observe(
+        seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("unreadable")
+    ).write.parquet(out)
+    stored = spark.read.schema(found.schema).parquet(out)
+    marks = [(root, seen.get["files"], seen.get["unreadable"])]
+    return Scan(
+        stored.where("error IS NULL").drop("error"),
+        stored.where("error IS NOT NULL").select("base_path", "file_path", "error"),
+        spark.createDataFrame(marks, "base_path string, files bigint, unreadable bigint"),
+    )
+
+
+def scan_files(
+    spark: SparkSession, root: str, include: Iterable[str] = (), keep_unreadable: bool = False
+) -> DataFrame:
+    """Manifest rows of every file below ``root`` on a shared mount.
+
+    MIME types come from file names, and only wanted files are opened. Times
+    are in the session time zone, to the second. Hashing is spread by files and
+    bytes; a file is read in chunks by one task, whatever its size. Files that
+    cannot be read are left out, or with ``keep_unreadable`` are rows without a
+    hash, so that they count as present; :func:`scan` reports them. A root or
+    folder that cannot be opened is an error.
+    """
+    found = _hashed(spark, root.rstrip("/") or "/", list(include)).drop("error")
+    return found if keep_unreadable else found.where("hash IS NOT NULL")
+
+
 def scan_store(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
     """Manifest rows of the objects below a store location, hashed in the JVM.
 
@@ -175,7 +214,8 @@ def scan_store(spark: SparkSession, root: str, include: Iterable[str] = ()) -> D
 
 def missing_rows(catalog: DataFrame, inventory_now: DataFrame, live_bases: DataFrame) -> DataFrame:
     """Catalog rows whose path is gone. All base paths must be live first, so
-    that an unmounted disk is not taken for a deletion."""
+    that an unmounted disk is not taken for a deletion, and wholly readable where
+    ``live_bases`` are the marks of a :func:`scan`."""
     require_bases(catalog, live_bases)
     present = inventory_now.select("full_path")
     return catalog.join(present, "full_path", "left_anti").select("id", "base_path", "full_path")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from copyledger.operators import catalog as cat_ops
 from copyledger.operators import manifest
-from copyledger.schema import CATALOG_SCHEMA, FIRST_ID
+from copyledger.plans import actions
+from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, as_catalog
 from copyledger.sources import categories, inventory, load, manifest_io
 from copyledger.streaming.incremental import load_stream, read_loaded
 
@@ -250,6 +251,53 @@ def test_scan_files(spark, tree, monkeypatch):
     assert {r.file_path for r in images.collect()} == {"sub/b.png", "sub/d.Jpg", "sub/.deep/_e.jpg"}
 
 
+def test_scan_reports_unreadable_files(spark, tree, monkeypatch):
+    """One file that cannot be read is named, and the scan is refused wherever a
+    missing file would count as deleted."""
+    root, bodies = tree
+    whole = inventory.scan(spark, root)
+    assert {r.file_path for r in whole.rows.collect()} == set(bodies)
+    assert whole.errors.count() == 0 and [tuple(r) for r in whole.marks.collect()] == [(root, len(bodies), 0)]
+
+    hashed = inventory._hash_files
+
+    def failing(batches):
+        for batch in hashed(batches):
+            for end, error in ("sub/c", "PermissionError: Permission denied"), ("a.TXT", "FileNotFoundError: gone"):
+                hit = batch["path"].str.endswith(end)
+                batch.loc[hit, "hash"], batch.loc[hit, "error"] = None, error
+            yield batch
+
+    monkeypatch.setattr(inventory, "_hash_files", failing)
+    partly = inventory.scan(spark, root)
+    assert {r.file_path for r in partly.rows.collect()} == set(bodies) - {"sub/c", "a.TXT"}
+    assert [tuple(r) for r in partly.errors.collect()] == [(root, "sub/c", "PermissionError: Permission denied")]
+    assert [tuple(r) for r in partly.marks.collect()] == [(root, len(bodies) - 1, 1)]
+    none = inventory.scan(spark, root, include=["video"])
+    assert [tuple(r) for r in none.marks.collect()] == [(root, 0, 0)]
+
+    manifest_rows = whole.rows
+    now = partly.rows.select(
+        F.concat_ws("/", "base_path", "file_path").alias("full_path"), F.lit(True).alias("is_regular"), "file_size",
+        "last_modified", "mime_type",
+    )
+    catalog = load.assign_ids(as_catalog(manifest_rows.withColumn("id", F.lit(0))).drop("id")).select(*CATALOG_COLUMNS)
+    bases = spark.createDataFrame([(root, 1, False)], "base_path string, priority int, is_vault boolean")
+    for concluded in [
+        lambda marks: inventory.missing_rows(catalog, now, marks),
+        lambda marks: manifest.clean(manifest_rows, now, marks),
+        lambda marks: actions.redundant_plan(catalog, bases, now, marks),
+    ]:
+        with pytest.raises(ValueError, match=r"unreadable files: .*\(1 files\)"):
+            concluded(partly.marks)
+        with pytest.raises(ValueError, match="missing or not mounted"):
+            concluded(whole.marks.where("false"))
+        concluded(whole.marks).collect()
+    assert {r.full_path for r in inventory.missing_rows(catalog, now, whole.marks).collect()} == {
+        f"{root}/sub/c", f"{root}/a.TXT"
+    }
+
+
 def test_scan_store_opens_only_wanted_objects(spark, tree):
     root, bodies = tree
     images = inventory.scan_store(spark, f"file://{root}", include=["image"])
