@@ -1047,6 +1047,14 @@ def seed_base_paths(spark, sf):
     return maintain.seed_base_paths(*_catalog_args(spark, sf), overlay)
 
 
+@query("default_categories", "cat", """
+    SELECT DISTINCT mime_type, CASE split_part(mime_type, '/', 1) WHEN 'image' THEN 'image' WHEN 'video' THEN 'video'
+        WHEN 'audio' THEN 'audio' END AS category
+    FROM cat WHERE split_part(mime_type, '/', 1) <> 'application'""")
+def default_categories(spark, sf):
+    return category_source.default_categories(tables.catalog(spark, sf))
+
+
 @query("seed_categories", "cat mc", "SELECT DISTINCT mime_type, category FROM cat JOIN mc USING (mime_type)")
 def seed_categories(spark, sf):
     return category_source.seed_categories(tables.catalog(spark, sf), tables.categories(spark))

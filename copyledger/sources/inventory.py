@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,28 +88,67 @@ class Scan(NamedTuple):
     marks: DataFrame
 
 
+def _digest(opened: Callable) -> tuple[str | None, str | None]:
+    """SHA-1 of a file, read a chunk at a time, or the error that prevented it."""
+    digest = hashlib.sha1()
+    try:
+        with opened() as f:
+            while chunk := f.read(CHUNK):
+                digest.update(chunk)
+    except OSError as e:
+        return None, f"{type(e).__name__}: {e.strerror or e}"
+    return digest.hexdigest(), None
+
+
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-1 of each file, read a chunk at a time, or the error that prevented it."""
     for batch in batches:
-        digests, errors = [], []
-        for path in batch["path"]:
-            digest, error = hashlib.sha1(), None
-            try:
-                with open(path, "rb") as f:
-                    while chunk := f.read(CHUNK):
-                        digest.update(chunk)
-            except OSError as e:
-                error = f"{type(e).__name__}: {e.strerror}"
-            digests.append(None if error else digest.hexdigest())
-            errors.append(error)
-        yield batch.assign(hash=digests, error=errors)
+        found = [_digest(lambda: open(path, "rb")) for path in batch["path"]]
+        yield batch.assign(hash=[h for h, _ in found], error=[e for _, e in found])
+
+
+def _store(location: str) -> tuple[fs.FileSystem, str]:
+    """File system of a store location, written as it is or with options after a
+    question mark, and the path in it."""
+    return fs.FileSystem.from_uri(quote(re.sub(r"\As3[an]:", "s3:", location), safe="/:@?&=,"))
+
+
+def _list_prefixes(location: str):
+    """As :func:`_list_folders`, of a store. Only a local one has links to pass over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _store(location)
+        links = os.path.islink if isinstance(store, fs.LocalFileSystem) else lambda path: False
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = store.get_file_info(fs.FileSelector(folder))
+                rows = [
+                    (i.path, i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 10**9)
+                    for i in found
+                    if i.type in (fs.FileType.Directory, fs.FileType.File) and not links(i.path)
+                ]
+                for start in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[start : start + 10_000], columns=["path", "is_dir", "length", "mtime"])
+
+    return run
+
+
+def _hash_objects(location: str):
+    """As :func:`_hash_files`, of a store."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _store(location)
+        for batch in batches:
+            found = [_digest(lambda: store.open_input_stream(path)) for path in batch["path"]]
+            yield batch.assign(hash=[h for h, _ in found], error=[e for _, e in found])
+
+    return run
 
 
 def _tasks(spark: SparkSession, wanted: int) -> int:
     return max(wanted, spark.sparkContext.defaultParallelism)
 
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
+def walk(spark: SparkSession, root: str, lister: Callable = _list_folders) -> DataFrame:
     """Every regular file below ``root``: path, length, mtime (epoch seconds).
 
     ``root`` lies on a mount that all executors share. Folders are listed one
@@ -119,7 +160,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     folders, n, depth = spark.createDataFrame([(root,)], "folder string"), 1, 0
     while n:
         listed = folders.repartition(_tasks(spark, n // 1000), "folder").mapInPandas(
-            _list_folders, "path string, is_dir boolean, length bigint, mtime bigint"
+            lister, "path string, is_dir boolean, length bigint, mtime bigint"
         )
         listed.write.parquet(f"{out}/level={depth}")
         folders = spark.read.parquet(f"{out}/level={depth}").where("is_dir").select(F.col("path").alias("folder"))
@@ -128,29 +169,36 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, root: str, include: list[str]) -> DataFrame:
-    """Manifest rows of the files below ``root``, with ``error`` where one could not be read."""
-    files = walk(spark, root).withColumn("relative", F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/")))
+    """Manifest rows of the files below ``root``, with ``error`` where one could not be
+    read. A root with a scheme is a store, reached through its own client."""
+    in_store = "://" in root
+    lister, hasher = (_list_prefixes(root), _hash_objects(root)) if in_store else (_list_folders, _hash_files)
+    top = _store(root)[1].rstrip("/") if in_store else root
+    files = walk(spark, top, lister).withColumn(
+        "relative", F.ltrim(F.substring("path", len(top) + 1, 2**31 - 1), F.lit("/"))
+    )
     kind = mime.mime_from_name("relative")
     if include:
         files = files.where(mime.major_type(kind).isin(include))
     load = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
     tasks = _tasks(spark, max(load["n"] // 20_000, load["b"] // (8 * 1024**3)))
     hashed = files.repartition(tasks, "path").mapInPandas(
-        _hash_files, "path string, length bigint, mtime bigint, relative string, hash string, error string"
+        hasher, "path string, length bigint, mtime bigint, relative string, hash string, error string"
     )
     return hashed.select(
         "hash",
         F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("last_modified"),
         F.col("length").alias("file_size"),
         kind.alias("mime_type"),
-        F.lit(root).alias("base_path"),
+        F.lit(re.sub(r"\Afile:/+", "/", root)).alias("base_path"),
         F.col("relative").alias("file_path"),
         "error",
     )
 
 
 def scan(spark: SparkSession, root: str, include: Iterable[str] = ()) -> Scan:
-    """Scan every file below ``root`` on a shared mount, once, into the shared folder.
+    """Scan every file below ``root``, on a shared mount or in a store (a location with
+    a scheme, as ``s3://bucket/prefix``), once, into the shared folder.
 
     As :func:`scan_files`, and with the files that could not be read as ``errors``
     (base_path, file_path, error). A file that vanished before it was read is
@@ -165,7 +213,7 @@ def scan(spark: SparkSession, root: str, include: Iterable[str] = ()) -> Scan:
         seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("unreadable")
     ).write.parquet(out)
     stored = spark.read.schema(found.schema).parquet(out)
-    marks = [(root, seen.get["files"], seen.get["unreadable"])]
+    marks = [(re.sub(r"\Afile:/+", "/", root), seen.get["files"], seen.get["unreadable"])]
     return Scan(
         stored.where("error IS NULL").drop("error"),
         stored.where("error IS NOT NULL").select("base_path", "file_path", "error"),
@@ -190,11 +238,22 @@ def scan_files(
 
 
 def scan_store(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
-    """Manifest rows of the objects below a store location, hashed in the JVM.
+    """Manifest rows of the objects below a store location that Arrow has a client
+    for (S3, GCS, Azure, HDFS, file), as :func:`scan_files` gives them for a mount.
+
+    Prefixes are listed level by level on the executors; a prefix's own names are
+    held by one task. Objects are read as streams, a chunk at a time, whatever their
+    size; empty ones and names with a dot or underscore first are included.
+    """
+    return scan_files(spark, root if "://" in root else f"file://{root}", include)
+
+
+def scan_binary(spark: SparkSession, root: str, include: Iterable[str] = ()) -> DataFrame:
+    """Manifest rows of the objects below a location that only Spark reaches, hashed
+    in the JVM.
 
-    For stores that executors do not mount. The file source leaves out empty
-    objects and names that start with a dot or underscore, and an object must
-    fit in 2 GB; use :func:`scan_files` where a mount exists.
+    The file source leaves out empty objects and names that start with a dot or
+    underscore, and an object must fit in 2 GB; elsewhere use :func:`scan_store`.
     """
     include = list(include)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

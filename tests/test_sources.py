@@ -298,9 +298,36 @@ def test_scan_reports_unreadable_files(spark, tree, monkeypatch):
     }
 
 
-def test_scan_store_opens_only_wanted_objects(spark, tree):
+def test_scan_store_equals_scan_files(spark, tree):
+    """Empty objects, dot and underscore names and odd characters included."""
+    root, _ = tree
+    for name in "empty", "_under", "sp ace%20é", "sub/.dot/x":
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(b"" if name == "empty" else name.encode())
+    for include in ([], ["image"]):
+        mounted = inventory.scan_files(spark, root, include).collect()
+        assert sorted(map(str, inventory.scan_store(spark, f"file://{root}/", include).collect())) == sorted(map(str, mounted))
+    scanned = inventory.scan(spark, f"file://{root}")
+    assert scanned.rows.count() == 10 and scanned.errors.count() == 0
+    assert [tuple(r) for r in scanned.marks.collect()] == [(root, 10, 0)]
+
+
+def test_objects_are_hashed_as_streams(tmp_path, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(inventory, "CHUNK", 1000)
+    body = bytes(range(256)) * 50
+    (tmp_path / "large").write_bytes(body)
+    batch = pd.DataFrame({"path": [f"{tmp_path}/large", f"{tmp_path}/none"]})
+    (found,) = inventory._hash_objects(f"file://{tmp_path}")([batch])
+    assert found["hash"].tolist() == [hashlib.sha1(body).hexdigest(), None]
+    assert found["error"][0] is None and found["error"][1].startswith("FileNotFoundError")
+
+
+def test_scan_binary_opens_only_wanted_objects(spark, tree):
     root, bodies = tree
-    images = inventory.scan_store(spark, f"file://{root}", include=["image"])
+    images = inventory.scan_binary(spark, f"file://{root}", include=["image"])
     rows = {r.file_path: r for r in images.collect()}
     assert set(rows) == {"sub/b.png", "sub/d.Jpg"}
     assert rows["sub/d.Jpg"]["hash"] == hashlib.sha1(bodies["sub/d.Jpg"]).hexdigest()
@@ -308,6 +335,22 @@ def test_scan_store_opens_only_wanted_objects(spark, tree):
     assert len(images.inputFiles()) == 2
 
 
+def test_default_categories(spark):
+    types = ["image/png", "image/never-seen", "audio/mpeg", "application/pdf", "application/zip", "text/csv", "text/plain",
+             "application/x-unmapped", "IMAGE/PNG", "odd", "", None]
+    table = spark.createDataFrame([(t,) for t in types * 2], "mime_type string")
+    found = {r.mime_type: r.category for r in categories.default_categories(table).collect()}
+    assert found == {
+        "image/png": "image", "image/never-seen": "image", "audio/mpeg": "audio", "application/pdf": "document",
+        "application/zip": "archives", "text/csv": "spreadsheet", "text/plain": "text",
+    }
+    own = spark.createDataFrame([("text/plain", "notes"), ("odd", "mine"), ("absent", "x")], "mime_type string, category string")
+    found |= {"text/plain": "notes", "odd": "mine"}
+    assert {r.mime_type: r.category for r in categories.default_categories(table, own).collect()} == found
+    fixed = categories.fixed_categories(spark)
+    assert fixed.count() == len(categories.TYPE_CATEGORIES) == fixed.select("mime_type").distinct().count()
+
+
 def test_missing_rows_need_all_bases(spark):
     rows = [(1, "/m/a", "/m/a/x"), (2, "/m/a", "/m/a/y"), (3, "/n/a", "/n/a/z")]
     cat = spark.createDataFrame(rows, "id bigint, base_path string, full_path string")
