@@ -72,6 +72,29 @@ FILES_NO_NUM = """id, hash, mime_type, category, last_modified, file_size, base_
 # --- sources and sinks ---------------------------------------------------
 
 
+def _in_files(spark, lines):
+    """Lines (source, line_no, value) written to one text file per source and read back
+    by the readers' own numbering; ``source`` is that of the file."""
+    folder = scratch_path(spark, "lines")
+    ordered = lines.repartition("source").sortWithinPartitions("source", "line_no")
+    ordered.select("value", "source").write.partitionBy("source").text(folder)
+    read = manifest_io.read_lines(spark, f"{folder}/*", "\n")
+    return read.withColumn("source", _file_source())
+
+
+def _file_source():
+    return F.url_decode(F.url_decode(F.regexp_extract("source", "/source=([^/]+)/", 1)))
+
+
+@query("manifest_files_strict", "good", """
+    SELECT source, hash, last_modified, file_size, mime_type, base_path, file_path FROM good""")
+def manifest_files_strict(spark, sf):
+    folder = scratch_path(spark, "lines")
+    tables.manifest_text(spark, sf).select("value", "source").write.partitionBy("source").text(folder)
+    good, _ = manifest_io.read_manifest(spark, f"{folder}/*", mode="strict")
+    return good.withColumn("source", _file_source()).select("source", *MANIFEST_COLUMNS)
+
+
 @query("manifest_parse_strict", "lines", """
     SELECT source, CASE WHEN len(string_split(value, chr(9))) = 6 THEN 'good' ELSE 'bad' END AS verdict,
            count(*) AS line_count
@@ -256,6 +279,19 @@ def id_list_bad_rows(spark, sf):
     return manifest_io.parse_id_list(_id_lines(spark, sf))[1]
 
 
+@query("id_files_parse", "ev", """
+    SELECT base_path AS source, id FROM ev WHERE event_type <> 'view' AND event_id <> 0""")
+def id_files_parse(spark, sf):
+    return manifest_io.parse_id_list(_in_files(spark, _id_lines(spark, sf)))[0]
+
+
+@query("id_files_bad_rows", "ev", """
+    SELECT base_path AS source, count(*) FILTER (WHERE event_type = 'view' AND event_id <> 0 AND line > 1) AS bad_rows
+    FROM (SELECT *, row_number() OVER (PARTITION BY base_path ORDER BY event_id) AS line FROM ev) GROUP BY ALL""")
+def id_files_bad_rows(spark, sf):
+    return manifest_io.parse_id_list(_in_files(spark, _id_lines(spark, sf)))[1]
+
+
 def _fix_lines(spark, sf):
     """Timestamp instructions for drift rows: a header, blanks, bad ids, and a
     second instruction for every vault copy some day later."""
@@ -284,6 +320,16 @@ FIXES_SQL = """
     FROM drift WHERE drift_seconds > 86400"""
 
 
+@query("ts_fix_files", "drift", f"""
+    WITH fixes AS ({FIXES_SQL})
+    SELECT (SELECT count(*) FROM drift) + row_number() OVER (ORDER BY line_no) AS line_no, vault_id,
+           primary_last_modified, vault_full_path FROM fixes""")
+def ts_fix_files(spark, sf):
+    """Instructions from a file, which begins with as many skipped lines as there are drift rows."""
+    return manifest_io.parse_ts_fixes(_in_files(spark, _fix_lines(spark, sf).withColumn("source", F.lit("fixes"))))
+
+
+
 @query("ts_fix_parse", "drift", FIXES_SQL)
 def ts_fix_parse(spark, sf):
     return manifest_io.parse_ts_fixes(_fix_lines(spark, sf))
@@ -1217,6 +1263,21 @@ def id_high_water(spark, sf):
     return quality.id_high_water(tables.catalog(spark, sf), load.stored_next_id(spark, out))
 
 
+@query("manifest_validate_files", "lines", """
+    WITH numbered AS (
+        SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_no) AS line_no, string_split(value, chr(9)) AS p
+        FROM lines)
+    SELECT source, line_no, 'column_count' AS error, CAST(len(p) AS VARCHAR) AS found FROM numbered WHERE len(p) <> 6
+    UNION ALL
+    SELECT source, line_no, 'invalid_hash', p[1] FROM numbered
+    WHERE len(p) = 6 AND NOT regexp_full_match(p[1], '[0-9a-fA-F]{40}')
+    UNION ALL
+    SELECT source, line_no, 'invalid_size', p[3] FROM numbered
+    WHERE len(p) = 6 AND NOT regexp_full_match(p[3], '[+-]?[0-9]+')""")
+def manifest_validate_files(spark, sf):
+    return quality.validate_lines(_in_files(spark, tables.manifest_text(spark, sf)))
+
+
 @query("manifest_validate", "lines", """
     SELECT source, line_no, 'column_count' AS error, CAST(len(p) AS VARCHAR) AS found
     FROM (SELECT *, string_split(value, chr(9)) AS p FROM lines) WHERE len(p) <> 6
