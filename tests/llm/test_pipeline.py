@@ -11,7 +11,7 @@ from copyledger.llm import queries
 def test_entry_lists_everything():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -21,8 +21,7 @@ def test_query_equals_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     expected = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(expected.columns)]
-    key = expected.columns[0]
-    order = lambda df: df.sort_values(key).astype(str).to_numpy().tolist()
+    order = lambda df: df.sort_values(list(expected.columns)).astype(str).to_numpy().tolist()
     assert order(got) == order(expected)
 
 
