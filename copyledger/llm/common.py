@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import copyledger
 from copyledger.session import scratch_path
@@ -41,10 +43,48 @@ def settled(df: DataFrame) -> DataFrame:
     later steps neither repeat its work nor depend on lost executors, and read
     only the columns they need in as many tasks as its size asks for."""
     path = scratch_path(df.sparkSession, "settled")
+    if _DISPOSABLE:
+        _DISPOSABLE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_DISPOSABLE: list[list[str]] = []
+
+
+@contextmanager
+def disposable(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were settled within; what was made from
+    them has to be written by then."""
+    _DISPOSABLE.append([])
+    try:
+        yield
+    finally:
+        for path in _DISPOSABLE.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, lengthened until none of ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+        taken.add(name.lower())
+    return free
+
+
+def join_on_digest(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``join_on_groups`` for one long ``key`` that is a hash itself: inputs are
+    shuffled for the join, so a hot key can be split, without a second hash in
+    every row."""
+    renamed = groups.withColumnRenamed(key, "_digest")
+    return rows.join(renamed, F.col(key).bitwiseXOR(F.lit(1)) == F.col("_digest").bitwiseXOR(F.lit(1))).drop("_digest")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

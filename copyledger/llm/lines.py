@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copyledger.llm.common import map_arrow, read_table, settled, shuffle_partitions, text_blocks
+from copyledger.llm.common import map_arrow, read_table, settled, shuffle_partitions, text_blocks, unused
 from copyledger.operators.keyed import join_on_groups
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -160,8 +160,9 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_row_key"))
-    lines = settled(line_keys(keyed.withColumnRenamed("_row_key", "row_key"), min_chars))
+    row_key, drop, new = unused(columns, "_row_key", "_drops", "_new")
+    keyed = docs.select(*columns, F.xxhash64("doc_id", "text").alias(row_key))
+    lines = settled(line_keys(keyed.select("doc_id", "text", F.col(row_key).alias("row_key")), min_chars))
 
     cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0]
     runs = LineRuns(spark)
@@ -182,12 +183,12 @@ def dedup_lines(
         join_on_groups(lines, frequent, ["key"])
         .where("doc_id is null or doc_id <> owner")
         .select("row_key", "key")
-        .groupBy(F.col("row_key").alias("_row_key"))
-        .agg(F.collect_set("key").alias("_drops"))
+        .groupBy(F.col("row_key").alias(row_key))
+        .agg(F.collect_set("key").alias(drop))
     )
-    rebuilt = keyed.join(drops, "_row_key", "left").withColumn("_new", _rebuilt("text", "_drops", F.lit(min_chars)))
-    new = {"text": F.col("_new.text").alias("text")}
-    return rebuilt.select(*[new.get(c, F.col(c)) for c in columns], "_new.n_lines", "_new.n_dropped")
+    rebuilt = keyed.join(drops, row_key, "left").withColumn(new, _rebuilt("text", drop, F.lit(min_chars)))
+    text = {"text": F.col(f"{new}.text").alias("text")}
+    return rebuilt.select(*[text.get(c, F.col(c)) for c in columns], f"{new}.n_lines", f"{new}.n_dropped")
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyledger.llm.common import map_arrow, read_table, settled, text_blocks
+from copyledger.llm.common import map_arrow, read_table, settled, text_blocks, unused
 
 ROUNDS, CONFIDENT, THRESHOLD = 2, 0.98, 0.5
 _STEPS, _RIDGE, _LONGEST, _PSEUDO_WEIGHT = 8, 1.0, 2.0, 0.5
@@ -263,5 +263,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     rejected = quality_scores(docs, read_table(spark, sf_dir, "labels")).where("not keep").select("row_key")
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(rejected.distinct(), keyed["_row_key"] == rejected["row_key"], "left_anti").select(docs.columns)
+    (row_key,) = unused(docs.columns, "_row_key")
+    keyed = docs.withColumn(row_key, F.xxhash64("doc_id", "text"))
+    gone = rejected.distinct().withColumnRenamed("row_key", row_key)
+    return keyed.join(gone, row_key, "left_anti").select(docs.columns)
