@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyledger.llm.common import map_arrow, read_table, settled, text_blocks
+from copyledger.llm.common import join_on_digest, map_arrow, read_table, settled, text_blocks, unused
 from copyledger.llm.components import connected_components
 from copyledger.llm.shingles import shingle_set, word_hashes, words_of
 from copyledger.operators.keyed import join_on_groups
@@ -21,8 +21,12 @@ BANDS, ROWS, WIDTH = 24, 5, 5
 _STEP = 4096
 # Members compared with one leader in one task.
 STAR_BLOCK = 512
-# Sets of one bucket that are compared with each other in one task.
-BUCKET_BLOCK = 2048
+# Classes of one bucket that are compared with each other in one task, and the
+# bytes of their sets.
+BUCKET_BLOCK, BLOCK_BYTES = 1024, 32_000_000
+# Pairs are compared by set unless their signatures agree by this many standard
+# deviations less than those of a pair just similar enough would on average.
+SLACK = 5
 
 
 def universal(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -151,83 +155,143 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _grouped(keys: list[str], handle: Callable[[list[dict]], list[tuple]], names: list[str]) -> Callable:
+    """What ``handle`` finds in each run of rows with equal ``keys``, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            found: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and any(held[0][c] != row[c] for c in keys):
+                    found += handle(held)
+                    held = []
+                held.append(row)
+            yield out(found)
+        yield out(handle(held))
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))], names)
+
+    return run
+
+
+def _apart(rows: list[dict]) -> np.ndarray:
+    """Pairs (i < j by component) of different components that this task compares."""
+    _, part = np.unique(np.array([r["component"] for r in rows]), return_inverse=True)
+    apart = part[:, None] < part
+    if rows[0]["b1"] != rows[0]["b2"]:
+        side = np.array([r["side"] for r in rows])
+        apart &= side[:, None] != side
+    return apart
+
+
+def _suspects(percent: int, bands: int, rows_: int, least: int) -> Callable:
+    """Classes of a block with a partner whose signature agrees in at least ``least``
+    minima, whose set is not too large or too small, and with which they agree in
+    no earlier band, so that a pair is looked at in one bucket. Pairs with the
+    leader of the bucket are known by then."""
+
+    def handle(rows: list[dict]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        sigs = np.stack([np.frombuffer(r["value"], "<u4") for r in rows])
+        sizes = np.array([r["n_shingles"] for r in rows], np.int64)
+        led = np.array([r["rep"] == r["leader"] for r in rows])
+        open_ = _apart(rows) & ~led[:, None] & ~led
+        open_ &= 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+        band, suspect = rows[0]["band"], np.zeros(len(rows), bool)
+        for i in np.flatnonzero(open_.any(axis=1)).tolist():
+            others = np.flatnonzero(open_[i])
+            same = sigs[others] == sigs[i]
+            near = same.sum(axis=1) >= least
+            earlier = same[near].reshape(-1, bands, rows_)[:, :band].all(axis=2).any(axis=1)
+            meets = others[near][~earlier]
+            suspect[meets] = True
+            suspect[i] |= len(meets) > 0
+        return [tuple(rows[i][c] for c in _PLACE) for i in np.flatnonzero(suspect).tolist()]
+
+    return _grouped(_BLOCK, handle, _PLACE)
+
+
 def _bucket_links(percent: int) -> Callable:
-    """Links between different components inside each (bucket, b1, b2), as edges
-    that connect what they connect; rows come sorted by these."""
+    """Links between different components inside each block, as edges that connect
+    what they connect."""
 
-    def links(ids: list, components: list, sides: list, across: bool, values: list) -> list[tuple[int, int]]:
-        if len(set(components)) < 2:
+    def handle(rows: list[dict]) -> list[tuple]:
+        if len(rows) < 2:
             return []
-        sets = [np.frombuffer(v, "<u8") for v in values]
-        sizes = np.array([len(s) for s in sets], np.float64)
-        common = _common(sets).astype(np.float64)
-        _, part = np.unique(np.array(components), return_inverse=True)
+        sets = [np.frombuffer(r["value"], "<u8") for r in rows]
+        sizes = np.array([len(s) for s in sets], np.float32)
+        common = _common(sets)
         near = 100 * common >= percent * (sizes[:, None] + sizes - common)
-        near &= part[:, None] < part
-        if across:
-            near &= np.array(sides)[:, None] != np.array(sides)
-        root = list(range(part.max() + 1))
+        near &= _apart(rows)
+        root: dict[int, int] = {r["component"]: r["component"] for r in rows}
         found = []
         for i, j in zip(*np.nonzero(near)):
-            a, b = part[i], part[j]
+            a, b = rows[i]["component"], rows[j]["component"]
             while root[a] != a:
                 a = root[a]
             while root[b] != b:
                 b = root[b]
             if a != b:
                 root[max(a, b)] = min(a, b)
-                found.append((ids[i], ids[j]))
+                found.append((rows[i]["rep"], rows[j]["rep"]))
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                if held and any(held[0][c] != row[c] for c in ("bucket", "b1", "b2")):
-                    edges += _linked(held)
-                    held = []
-                held.append(row)
-            yield _edges(edges)
-        yield _edges(_linked(held))
-
-    def _linked(rows: list[dict]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        columns = [[r[c] for r in rows] for c in ("rep", "component", "side", "value")]
-        return links(*columns[:3], rows[0]["b1"] != rows[0]["b2"], columns[3])
+    return _grouped(_BLOCK, handle, ["u", "v"])
 
-    def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    return run
+# A block of a bucket, and a class in it.
+_BLOCK = ["bucket", "b1", "b2"]
+_PLACE = [*_BLOCK, "side", "rep", "component"]
 
 
-def mixed_links(entries: DataFrame, components: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def mixed_links(
+    shared: DataFrame, components: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFrame],
+    percent: int, bands: int, rows: int, least: int,
+) -> DataFrame:
     """Verified links between classes that share a bucket but no component yet.
 
-    The sets of such a bucket meet in one task, or in one for each two blocks of
-    BUCKET_BLOCK, and only connecting edges leave it, never the pairs."""
-    placed = entries.join(components, entries.rep == components.id, "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component")
+    ``shared`` (bucket, band, leader, rep, n_shingles) are buckets of several classes,
+    each compared with its leader. The others' signatures meet in one task a bucket,
+    or in one for each two blocks of it, and mark the classes whose sets are still
+    to be compared; these meet in the same blocks, and only connecting edges leave
+    them, never the pairs. A block holds about BUCKET_BLOCK classes and no
+    more than about BLOCK_BYTES of sets.
+    """
+    placed = shared.join(components, shared.rep == components.id, "left").select(
+        *shared.columns, F.coalesce("component", "rep").alias("component")
     )
     mixed = (
         placed.groupBy("bucket")
-        .agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
-        .where("a < b")
-        .select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+        .agg(
+            F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"),
+            F.sum("n_shingles").alias("size"),
+        )
+        .where("a < b and n > 2")
+        .select("bucket", F.ceil(F.greatest(F.col("n") / BUCKET_BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    )
+    open_ = (
+        join_on_digest(placed, mixed, "bucket")
+        .withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        .withColumn("b1", F.least("side", "other"))
+        .withColumn("b2", F.greatest("side", "other"))
+        .select(*_PLACE, "band", "leader", "n_shingles")
     )
-    open_ = settled(
-        join_on_groups(placed, mixed, ["bucket"])
-        .withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "rep", "component")
+
+    def dealt(places: DataFrame, values: DataFrame) -> DataFrame:
+        full = places.join(values, places.rep == values.id).drop("id")
+        return full.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+
+    suspects = settled(
+        dealt(open_, sigs).transform(
+            map_arrow, _suspects(percent, bands, rows, least), ", ".join(f"{c} long" for c in _PLACE)
+        )
     )
-    wanted = sets(open_.select(F.col("rep").alias("row_key")).distinct())
-    keys = ["bucket", "b1", "b2"]
-    full = open_.join(wanted, open_.rep == wanted.id).select(*keys, "side", "rep", "component", "value")
-    dealt = full.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.transform(map_arrow, _bucket_links(percent), "u long, v long")
+    wanted = sets(suspects.select(F.col("rep").alias("row_key")).distinct())
+    return dealt(suspects, wanted).transform(map_arrow, _bucket_links(percent), "u long, v long")
 
 
 def _row_key() -> Column:
@@ -253,10 +317,10 @@ def _components(docs: DataFrame, percent: int, bands: int, rows: int, width: int
     )
 
     band = F.xxhash64(F.col("band"), F.substring("sig", F.col("band") * (4 * rows) + 1, 4 * rows))
-    own = known.join(reps, "key").where("row_key = rep").select("rep", "copies", "sig")
+    own = known.join(reps, "key").where("row_key = rep").select("rep", "copies", "n_shingles", "sig")
     entries = settled(
         own.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).select(
-            band.alias("bucket"), "rep", "copies"
+            band.alias("bucket"), "band", "rep", "copies", "n_shingles"
         )
     )
     # A text that was copied often is likely what the others were made from.
@@ -267,28 +331,25 @@ def _components(docs: DataFrame, percent: int, bands: int, rows: int, width: int
         .where("n > 1")
         .select("bucket", F.col("top.rep").alias("leader"))
     )
-    stars = settled(
-        join_on_groups(entries, leaders, ["bucket"])
-        .where("leader <> rep")
-        .select("leader", F.col("rep").alias("member"))
-        .distinct()
-    )
+    # Most classes are alone in their buckets; later steps read the others only.
+    shared = settled(join_on_digest(entries.drop("copies"), leaders, "bucket"))
+    stars = settled(shared.where("leader <> rep").select("leader", F.col("rep").alias("member")).distinct())
     sigs = known.select(F.col("row_key").alias("id"), F.col("sig").alias("value"))
     share = percent / 100
-    slack = 4 * math.sqrt(share * (1 - share) / (bands * rows))
-    alike = _agree(math.floor(max(0.0, share - slack) * bands * rows))
+    slack = SLACK * math.sqrt(share * (1 - share) / (bands * rows))
+    least = math.floor(max(0.0, share - slack) * bands * rows)
 
     def sets(wanted: DataFrame) -> DataFrame:
         needed = texts.join(wanted, "row_key").select("row_key", "text")
         return needed.transform(map_arrow, _sets(width), "id long, value binary")
 
-    close = settled(star_compare(stars, sigs, alike))
+    close = settled(star_compare(stars, sigs, _agree(least)))
     ends = close.select(F.explode(F.array("leader", "member")).alias("row_key")).distinct()
     links = settled(
         star_compare(close, sets(ends), _overlap(percent)).select(F.col("leader").alias("u"), F.col("member").alias("v"))
     )
     linked = connected_components(links)
-    more = settled(mixed_links(entries, linked, sets, percent))
+    more = settled(mixed_links(shared, linked, sigs, sets, percent, bands, rows, least))
     if not more.isEmpty():
         linked = connected_components(links.unionByName(more))
 
@@ -315,10 +376,11 @@ def minhash_components(
     100 * intersection >= ``percent`` * union, checked on the full sets. Texts of
     equal words form one class first; its smallest doc_id stands for it. In each
     band bucket every class is compared with one leader, by signature and then by
-    set; after that, classes of a bucket in different components are compared by
-    set, so that no candidate link is lost and a large group of near copies
-    sends each set to a few tasks instead of all its pairs. At a similarity of 0.85 a
-    pair shares no bucket with probability 8e-7, at 0.80 with 7e-5.
+    set; after that, classes of a bucket in different components are compared with
+    each other, by signature and then by set, so that no candidate link is lost
+    and a large group of near copies sends each set to a few tasks instead of all
+    its pairs. At a similarity of 0.85 a pair shares no bucket with probability 8e-7,
+    at 0.80 with 7e-5; signatures rule out a pair of 0.85 or 0.80 by mistake with 1e-6.
 
     Null and empty texts have an empty set, link with nothing and are kept. A
     null doc_id takes no part: component_id is null and the row is kept. Rows
@@ -334,6 +396,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, at a similarity of 0.8."""
-    gone = _components(docs, 80, BANDS, ROWS, WIDTH).where("not kept").select("doc_id", F.col("row_key").alias("_row_key"))
-    keyed = docs.select("*", _row_key().alias("_row_key"))
-    return keyed.join(gone.distinct(), ["doc_id", "_row_key"], "left_anti").select(docs.columns)
+    (row_key,) = unused(docs.columns, "_row_key")
+    gone = _components(docs, 80, BANDS, ROWS, WIDTH).where("not kept").select("doc_id", F.col("row_key").alias(row_key))
+    keyed = docs.select("*", _row_key().alias(row_key))
+    return keyed.join(gone.distinct(), ["doc_id", row_key], "left_anti").select(docs.columns)

@@ -69,6 +69,32 @@ def test_minhash(spark, docs, odd_rows):
     assert minhash.minhash_components(docs()).count() == 0
 
 
+@pytest.mark.parametrize("block, size", [(1024, 32_000_000), (8, 32_000_000), (1024, 10_000)])
+def test_minhash_links_beside_the_leader(spark, docs, monkeypatch, block, size):
+    """Families around the similarity that counts: most links join members that
+    are not linked to the leaders of their buckets."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    draw = np.random.default_rng(9)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(160)]
+        for member in range(20):
+            words = list(base)
+            for at in draw.choice(160, draw.integers(1, 5), replace=False).tolist():
+                words[at] = f"m{member}v{at}" if draw.random() < 0.7 else f"v{at}"
+            rows.append((100 * family + member, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(156)} for i, t in rows}
+    least = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least.values())) > 12
+    found = {r.doc_id: r.component_id for r in minhash.minhash_components(docs(*rows)).collect()}
+    assert found == least
+
+
 def test_minhash_places_rows_of_one_doc_id_by_their_own_words(spark, docs):
     rng = random.Random(13)
     a, b, c = (" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(3))
