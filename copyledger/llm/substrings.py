@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copyledger.llm.common import map_arrow, read_table, settled, text_blocks
+from copyledger.llm.common import join_on_digest, map_arrow, read_table, settled, text_blocks, unused
 from copyledger.operators.keyed import join_on_groups
 
 # A border lies where the gear hash of the last WINDOW bytes is the least (the
@@ -228,8 +228,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """
     counts = ["n_chunks", "n_spans", "removed_bytes"]
     columns = [c for c in docs.columns if c not in counts]
-    keyed = docs.select(*columns, F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"))
-    found = keyed.select(F.col("_doc").alias("doc"), "text").transform(map_arrow, _occurrences, "digest long, doc long, at long")
+    doc, drop, end, new = unused(columns, "_doc", "_drops", "_ends", "_new")
+    keyed = docs.select(*columns, F.coalesce("doc_id", F.lit(2**63 - 1)).alias(doc))
+    found = keyed.select(F.col(doc).alias("doc"), "text").transform(map_arrow, _occurrences, "digest long, doc long, at long")
     owners = (
         found.groupBy("digest")
         .agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
@@ -237,7 +238,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         .select("digest", "owner")
     )
     hits = settled(
-        join_on_groups(found, owners, ["digest"])
+        join_on_digest(found, owners, "digest")
         .where("doc > owner")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("at", "digest", "owner")).alias("hits"))
@@ -246,12 +247,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     wanted = (
         open_ends.select("owner", "digest", "side")
         .distinct()
-        .groupBy(F.col("owner").alias("_doc"))
+        .groupBy(F.col("owner").alias("doc"))
         .agg(F.collect_list(F.struct("digest", "side")).alias("wanted"))
     )
     beside = (
-        keyed.select("_doc", "text")
-        .join(wanted, "_doc")
+        keyed.select(F.col(doc).alias("doc"), "text")
+        .join(wanted, "doc")
         .select("text", "wanted")
         .transform(map_arrow, _surroundings, "digest long, side long, beside binary")
         .groupBy("digest", "side")
@@ -259,13 +260,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     ends = (
         join_on_groups(open_ends, beside, ["digest", "side"])
-        .groupBy(F.col("doc").alias("_doc"))
-        .agg(F.collect_list(F.struct("digest", "side", "beside")).alias("_ends"))
+        .groupBy(F.col("doc").alias(doc))
+        .agg(F.collect_list(F.struct("digest", "side", "beside")).alias(end))
     )
-    drops = hits.select(F.col("doc").alias("_doc"), F.array_distinct("hits.digest").alias("_drops")).join(ends, "_doc", "left")
-    rebuilt = keyed.join(drops, "_doc", "left").withColumn("_new", _rebuilt("text", "_drops", "_ends"))
-    new = {"text": F.col("_new.text").alias("text")}
-    return rebuilt.select(*[new.get(c, F.col(c)) for c in columns], *[F.col(f"_new.{c}").alias(c) for c in counts])
+    drops = hits.select(F.col("doc").alias(doc), F.array_distinct("hits.digest").alias(drop)).join(ends, doc, "left")
+    rebuilt = keyed.join(drops, doc, "left").withColumn(new, _rebuilt("text", drop, end))
+    text = {"text": F.col(f"{new}.text").alias("text")}
+    return rebuilt.select(*[text.get(c, F.col(c)) for c in columns], *[F.col(f"{new}.{c}").alias(c) for c in counts])
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
