@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyledger.llm.common import importable, read_table
+from copyledger.llm.common import disposable, importable, read_table
 from copyledger.llm.lines import line_stage
 from copyledger.llm.minhash import minhash_stage
 from copyledger.llm.packing import packing_stage
@@ -29,12 +29,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read
-    back as input of the next."""
+    back as input of the next. What a stage settled on its way goes once it is written."""
     importable(spark)
     docs = read_table(spark, sf_dir, "documents")
     folder = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with disposable(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
