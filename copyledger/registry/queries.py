@@ -95,6 +95,20 @@ def manifest_files_strict(spark, sf):
     return good.withColumn("source", _file_source()).select("source", *MANIFEST_COLUMNS)
 
 
+@query("manifest_records", "lines", """
+    SELECT source, CASE WHEN line_no % 3 = 0 THEN '"' || replace(value, '"', '""') || chr(10) || line_no || '"'
+                        ELSE replace(value, '"', '') END AS value
+    FROM lines""")
+def manifest_records(spark, sf):
+    """Manifest files of which every third line is quoted and holds a line break."""
+    quoted = F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit("\n"), "line_no", F.lit('"'))
+    plain = F.replace("value", F.lit('"'), F.lit(""))
+    rows = tables.manifest_text(spark, sf).select("source", F.when(F.col("line_no") % 3 == 0, quoted).otherwise(plain).alias("value"))
+    folder = scratch_path(spark, "lines")
+    rows.write.partitionBy("source").text(folder)
+    return manifest_io.read_records(spark, f"{folder}/*").withColumn("source", _file_source()).select("source", "value")
+
+
 @query("manifest_parse_strict", "lines", """
     SELECT source, CASE WHEN len(string_split(value, chr(9))) = 6 THEN 'good' ELSE 'bad' END AS verdict,
            count(*) AS line_count

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from copyledger.functions import paths as path_fn
 from copyledger.operators.keyed import dense_number
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, FIRST_ID, MANIFEST_COLUMNS, as_catalog
+from copyledger.sources.manifest_io import read_records
 from copyledger.session import existing_paths, literal_table, scratch_path
 
 
@@ -98,15 +99,13 @@ def _placed(rows: DataFrame, uris: Sequence[str]) -> DataFrame:
 def _read_files(spark: SparkSession, uris: Sequence[str], paths: Sequence[str], multiline: bool) -> DataFrame:
     """Rows of all files with ``_file``, their position in ``paths``, and
     ``_broken``. Quoted fields follow CSV rules with a tab delimiter."""
-    source = F.regexp_replace("_metadata.file_path", r"\Afile:/+", "/").alias("_source")
-    if not multiline:
-        return typed_rows(_placed(spark.read.text(list(paths)).select(source, "value"), uris))
-    fields = ", ".join(f"{c} string" for c in [*MANIFEST_COLUMNS, "_bad"])
-    records = spark.read.schema(fields).csv(
-        list(paths), sep="\t", quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_bad"
-    )
-    placed = _placed(records.select(source, *MANIFEST_COLUMNS, "_bad"), uris)
-    return _typed(placed, {c: F.col(c) for c in MANIFEST_COLUMNS}, F.col("_bad").isNotNull(), ["_file"])
+    if multiline:
+        # Blank lines are no records, broken ones have no value.
+        records = read_records(spark, list(paths)).where(F.coalesce("value", F.lit("broken")) != "")
+    else:
+        records = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("source"), "value")
+    source = F.regexp_replace("source", r"\Afile:/+", "/").alias("_source")
+    return typed_rows(_placed(records.select(source, "value"), uris))
 
 
 def typed_rows(lines: DataFrame) -> DataFrame:
@@ -145,8 +144,7 @@ def load_catalog(
 
     Rows are parsed once and kept, typed, in the shared folder; later steps read
     the columns they need from there. With ``multiline`` a quoted field may hold
-    line breaks and blank lines are skipped; a file is then read by one task, as
-    it cannot be split at line ends.
+    line breaks and blank lines are skipped; files are still read in splits.
     """
     uris = existing_paths(spark, paths)
     present = list(uris)

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copyledger.operators.keyed import join_on_groups
 from copyledger.schema import MANIFEST_COLUMNS
 
+# A quoted record of more characters is malformed: its quote was never meant to open.
+RECORD_CHARS = 16 * 1024 * 1024
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], line_sep: str | None = None) -> DataFrame:
     """Text lines with their file (``source``) and 1-based ``line_no``.
@@ -36,6 +40,69 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], line_sep: str |
     )
 
 
+def read_records(spark: SparkSession, paths: str | Sequence[str], max_chars: int = RECORD_CHARS) -> DataFrame:
+    """Records (``source``, ``value``) of files whose quoted fields may hold line breaks.
+
+    A record ends at the first line end behind an even number of quotes. Files are
+    read in splits: the quotes of the earlier splits of a file tell whether a split
+    begins inside quotes. Splits without an odd line that begin outside are passed
+    on as they are; in the others lines are put in order, and only the lines of
+    broken records meet again. Records left open at the end of a file or of over
+    ``max_chars`` characters have a null value and are never gathered.
+    Line ends inside quotes stay as written.
+    """
+    text = spark.read.text(paths, lineSep="\n")
+    raw = text.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_pos"),
+        "value",
+        (F.regexp_count("value", F.lit('"')) % 2).alias("_odd"),
+    )
+    earlier = W.partitionBy("source").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    turn = F.when(F.col("_odd") == 1, F.col("_pos"))
+    splits = (
+        raw.groupBy("source", "_split")
+        .agg(F.sum("_odd").alias("_odds"), F.max(turn).alias("_turn"))
+        .withColumn("_before", F.coalesce(F.sum("_odds").over(earlier), F.lit(0)))
+        .withColumn("_from_split", F.last(F.when(F.col("_odds") > 0, F.col("_split")), True).over(earlier))
+        .withColumn("_from_pos", F.last("_turn", True).over(earlier))
+        .drop("_turn")
+    )
+    placed = raw.join(splits, ["source", "_split"])
+    quiet = (F.col("_before") % 2 == 0) & (F.col("_odds") == 0)
+    # A split, not a file, is what one group of this window holds.
+    above = W.partitionBy("source", "_split").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    lines = (
+        placed.where(~quiet)
+        .withColumn("_inside", (F.col("_before") + F.coalesce(F.sum("_odd").over(above), F.lit(0))) % 2 == 1)
+        .withColumn("_own", F.last(turn, True).over(above))
+    )
+    here = ~F.col("_inside") | F.col("_own").isNotNull()
+    opened = {
+        "_at_split": F.when(here, F.col("_split")).otherwise(F.col("_from_split")),
+        "_at_pos": F.when(~F.col("_inside"), F.col("_pos")).otherwise(F.coalesce("_own", "_from_pos")),
+    }
+    parts = lines.where("_inside or _odd = 1").withColumns(opened)
+    keys = ["source", *opened]
+    sizes = parts.groupBy(*keys).agg((F.sum(F.length("value")) + F.count(F.lit(1))).alias("_n"), F.sum("_odd").alias("_quotes"))
+    whole = (F.col("_n") <= max_chars) & (F.col("_quotes") == 2)
+    ordered = F.sort_array(F.collect_list(F.struct("_split", "_pos", "value")))
+    joined = (
+        join_on_groups(parts, sizes.where(whole).select(*keys), keys)
+        .groupBy(*keys)
+        .agg(F.array_join(ordered["value"], "\n").alias("value"))
+    )
+    records = (
+        placed.where(quiet)
+        .select("source", "value")
+        .unionByName(lines.where("not _inside and _odd = 0").select("source", "value"))
+        .unionByName(joined.select("source", "value"))
+        .unionByName(sizes.where(~whole).select("source", F.lit(None).cast("string").alias("value")))
+    )
+    return records.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+
+
 def _fields(parts: Column) -> list[Column]:
     return [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(MANIFEST_COLUMNS)]
 
