@@ -91,9 +91,17 @@ def under(path: ColumnLike, root: ColumnLike) -> Column:
     return (p == r) | F.startswith(p, F.concat(r, F.lit("/")))
 
 
-def ancestors(path: ColumnLike) -> Column:
-    """The path itself and every directory above it, as an array."""
-    parts = F.split(as_col(path), "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
-    )
+def tree_key(path: ColumnLike) -> Column:
+    """Sort key by which a directory comes right before everything below it, and
+    nothing else between: the slash sorts before all other characters."""
+    key = F.rtrim(as_col(path), F.lit("/"))
+    # Characters that would sort beside the slash are written as two.
+    for raw, pair in (("\x02", "\x02c"), ("\x01", "\x02b"), ("\x00", "\x02a")):
+        key = F.replace(key, F.lit(raw), F.lit(pair))
+    return F.translate(key, "/", "\x01")
+
+
+def tree_span(path: ColumnLike) -> tuple[Column, Column]:
+    """The first tree key of ``path`` and what is below it, and the first key behind."""
+    key = tree_key(path)
+    return key, F.concat(key, F.lit("\x02"))

@@ -115,6 +115,29 @@ def range_number(df: DataFrame, order: Sequence[str], name: str, start: int = 1)
     return numbered.withColumn(name, position + F.lit(start)).drop("_pos", "_range", "_first", "_before")
 
 
+def in_spans(points: DataFrame, spans: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Rows of ``points`` whose ``at`` lies in one of the ``spans`` (``first`` to before
+    ``behind``), which may nest or overlap; null places lie in none.
+
+    Both are range-sorted together over many tasks (``ranges`` of them, else as
+    many as the session shuffles to). A point lies in a span when the furthest end of
+    those that began before it is behind it. Spans reach from range to range
+    through one row per range, so no point is repeated and no span is a hot key.
+    """
+    columns = points.columns
+    end = F.lit(None).cast("string").alias("_behind")
+    marks = spans.select(F.col("first").alias("at"), F.col("behind").alias("_behind"), F.lit(0).alias("_kind"))
+    both = points.where("at is not null").select(*columns, end, F.lit(1).alias("_kind"))
+    placed = _settle(both.unionByName(marks, allowMissingColumns=True), ["at", "_kind"], ranges)
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    reached = placed.groupBy("_range").agg(F.max("_behind").alias("_last")).withColumn("_reach", F.max("_last").over(earlier))
+    above = W.partitionBy("_range").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("_above", F.max("_behind").over(above)).join(
+        F.broadcast(reached.select("_range", "_reach")), "_range"
+    )
+    return inside.where((F.col("_kind") == 1) & (F.greatest("_above", "_reach") > F.col("at"))).select(*columns)
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key. The limit of one is applied before the shuffle
     too, so a hot key sends one row per input task."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from copyledger.functions import mime, paths, sizes, times, validity
 from copyledger.operators.catalog import GROUP_KEYS, mime_filter
-from copyledger.operators.keyed import join_on_groups, top_per_key
+from copyledger.operators.keyed import in_spans, join_on_groups, top_per_key
 from copyledger.schema import MANIFEST_COLUMNS
 
 VIEW_KEYS = ["hash", "major_type"]
@@ -175,22 +175,16 @@ def group_listing(df: DataFrame, majors: Iterable[str] = (), drop_unique: bool =
 # --- remove --------------------------------------------------------------
 
 
-def _depth(path: Column) -> Column:
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-
-
-def expand_targets(targets: DataFrame, inventory: DataFrame) -> DataFrame:
+def expand_targets(targets: DataFrame, inventory: DataFrame, ranges: int | None = None) -> DataFrame:
     """Regular files named by ``targets`` (column ``path``): each target itself,
-    or every file below it when it is a directory. Matching goes through the
-    directories above each file that are as deep as some target, so it stays an
-    equi-join and a file makes one row per depth that occurs among the targets."""
-    wanted = targets.select(paths.normalize_path("path").alias("_dir")).distinct()
-    # Path depths: a handful of numbers whatever the number of targets.
-    depths = wanted.select(_depth(F.col("_dir")).alias("d")).agg(F.collect_set("d")).scalar()
-    listed = inventory.where("is_regular").select(paths.normalize_path("full_path").alias("path"))
-    above = F.filter(paths.ancestors("path"), lambda p: F.array_contains(F.col("_depths"), _depth(p)))
-    chains = listed.withColumn("_depths", depths).withColumn("_dir", F.explode(above)).drop("_depths")
-    return join_on_groups(chains, wanted, ["_dir"], "left_semi").select("path").distinct()
+    or every file below it when it is a directory, found by :func:`in_spans`. The
+    target ``/`` names every absolute path; empty and null targets name nothing.
+    """
+    wanted = targets.select(paths.normalize_path("path").alias("path")).where("path <> ''").distinct()
+    first, behind = paths.tree_span("path")
+    spans = wanted.select(first.alias("first"), behind.alias("behind"))
+    listed = inventory.where("is_regular").select(paths.normalize_path("full_path").alias("path")).distinct()
+    return in_spans(listed.withColumn("at", paths.tree_key("path")), spans, ranges).select("path")
 
 
 def remove_log(manifest: DataFrame, targets: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Manifest operators, plans and health checks on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,19 @@ def test_expand_targets(spark, inv):
     assert sorted(r.path for r in manifest.expand_targets(targets, live).collect()) == ["/d/a", "/d/sub/b", "/e"]
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_targets_of_any_name_and_depth(spark, inv, ranges):
+    rng = random.Random(8)
+    letters = ["a", "b", "-", ".x", " ", "a!", "\x01", "\x02", "\x02a", "é", "\U0001f642"]
+    names = lambda: "/" + "/".join(rng.choice(letters) for _ in range(rng.randrange(1, 5)))
+    files = sorted({names() for _ in range(600)})
+    live = inv(*[(p, True, True, 1, "2024-01-01 00:00:00", "m/x") for p in files])
+    for chosen in ([names() for _ in range(25)], ["/a", "/a/a", "/a"], ["/"], ["", None], ["/none"]):
+        found = manifest.expand_targets(spark.createDataFrame([(c,) for c in chosen], "path string"), live, ranges)
+        expected = [p for p in files if any(c and (p == c or p.startswith(c.rstrip("/") + "/")) for c in chosen)]
+        assert sorted(r.path for r in found.collect()) == expected
+
+
 def test_clean_reports_the_first_failing_rule(man, inv):
     rows = man(
         ("h", T0, 1, "m/x", "/b", "gone"), ("h", T0, 1, "m/x", "/b", "pipe"), ("h", T0, 1, "m/x", "/b", "size"),
