@@ -168,9 +168,14 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     path = tokenizer_path(tokenizer)
     buckets = min(shuffle_partitions(docs.sparkSession), MAX_BUCKETS)
     packets = docs.select("doc_id", "text").transform(map_arrow, _frequencies(path, buckets), _PACKET)
-    # Blocks alternate between tasks of a bucket where there are more tasks.
+    # Blocks alternate between tasks of a bucket where there are more tasks; the
+    # rows that describe blocks only pass through and go to all tasks in turn.
     spread = max(1, shuffle_partitions(docs.sparkSession) // MAX_BUCKETS)
-    dealt = packets.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("block"), F.lit(spread)))
+    turn = F.xxhash64("block")
+    task = F.when(F.col("bucket") < 0, F.pmod(turn, F.lit(buckets * spread))).otherwise(
+        F.col("bucket") * spread + F.pmod(turn, F.lit(spread))
+    )
+    dealt = packets.repartitionById(buckets * spread, task.cast("int"))
     products = dealt.transform(map_arrow, _products(path), "block binary, bucket int, value binary")
     counts = (
         products.repartition("block")
