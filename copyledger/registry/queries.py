@@ -784,6 +784,11 @@ def snapshot_delete_by_id(spark, sf):
     return store.rows().select("id", "full_path")
 
 
+@query("snapshot_taken_paths", "cat inv", "SELECT full_path FROM cat WHERE full_path IN (SELECT full_path FROM inv)")
+def snapshot_taken_paths(spark, sf):
+    return _snapshots(spark, sf).taken(tables.inventory(spark, sf))
+
+
 @query("snapshot_update_timestamp", "cat drift", """
     SELECT c.id, CASE WHEN d.vault_id IS NULL THEN c.last_modified
                       WHEN d.drift_seconds > 86400 THEN d.target_last_modified + INTERVAL 1 DAY

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,6 +134,7 @@ def load_catalog(
     existing: DataFrame | None = None,
     start: int | None = None,
     multiline: bool = False,
+    taken: Callable[[DataFrame], DataFrame] | None = None,
 ) -> LoadResult:
     """Append manifest files to ``existing`` and report a status per file.
 
@@ -143,7 +144,9 @@ def load_catalog(
     ``start``, the stored next id; without it, above the ids ``existing`` holds.
 
     Rows are parsed once and kept, typed, in the shared folder; later steps read
-    the columns they need from there. With ``multiline`` a quoted field may hold
+    the columns they need from there. ``taken`` may stand for ``existing``: it gets
+    the arriving paths (``full_path``) and returns the distinct ones in use, and the
+    result then holds the loaded rows alone. With ``multiline`` a quoted field may hold
     line breaks and blank lines are skipped; files are still read in splits.
     """
     uris = existing_paths(spark, paths)
@@ -169,12 +172,14 @@ def load_catalog(
     )
     earliest = F.min("_file").over(W.partitionBy("full_path"))
     clash = (F.col("_n") > 1) | (F.col("_file") > F.col("_earliest"))
-    if existing is not None:
-        # A small load is broadcast to the catalog instead of shuffling it.
+    if existing is not None or taken is not None:
         arriving = rows.select(path_fn.full_path("base_path", "file_path").alias("full_path"))
-        taken = existing.select("full_path").join(arriving, "full_path", "left_semi")
-        taken = taken.withColumn("_taken", F.lit(True))
-        per_path = per_path.join(taken, "full_path", "left")
+        # A small load is broadcast to the catalog instead of shuffling it.
+        used = [] if existing is None else [existing.select("full_path").join(arriving, "full_path", "left_semi")]
+        used += [] if taken is None else [taken(arriving)]
+        in_use = used[0] if len(used) == 1 else used[0].unionByName(used[1]).distinct()
+        in_use = in_use.withColumn("_taken", F.lit(True))
+        per_path = per_path.join(in_use, "full_path", "left")
         clash = clash | F.coalesce(F.col("_taken"), F.lit(False))
     verdicts = (
         per_path.withColumn("_earliest", earliest)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +18,21 @@ from pyspark.sql import functions as F
 
 from copyledger.operators import maintain
 from copyledger.schema import CATALOG_COLUMNS, CATALOG_SCHEMA
+from copyledger.session import ensure_checkpoint_dir
+from copyledger.sources import load, path_filter
+
+# Filters that a snapshot lists before they are made anew as one.
+MAX_FILTERS = 32
 
 
 class Snapshot(NamedTuple):
-    """``folders`` of every base path, relative to the catalog's own folder."""
+    """``folders`` of every base path, relative to the catalog's own folder, and the
+    ``filters`` that together cover all their paths: folder and number of blocks."""
 
     number: int
     next_id: int
     folders: dict[str, list[str]]
+    filters: list[list] | None = None
 
 
 class SnapshotConflict(RuntimeError):
@@ -106,14 +113,52 @@ class StoredCatalog:
 
     def create(self, catalog: DataFrame, next_id: int) -> Snapshot:
         """Store a first snapshot; ``next_id`` is the first id a load may use."""
-        return self._store(Snapshot(1, next_id, self._write(catalog, 1)))
+        folders = self._write(catalog, 1)
+        return self._store(Snapshot(1, next_id, folders, self._filter(folders, [])))
 
-    def append(self, rows: DataFrame, next_id: int) -> Snapshot:
-        """Add loaded rows (see ``load.load_catalog``); no stored row is read or written."""
-        now = self.snapshot()
+    def append(self, rows: DataFrame, next_id: int, now: Snapshot | None = None) -> Snapshot:
+        """Add loaded rows (see ``load.load_catalog``) to the latest snapshot, or to
+        ``now``; no stored row is written, and none read but to make filters anew."""
+        now = now or self.snapshot()
         added = self._write(rows, now.number + 1)
         folders = {b: [*now.folders.get(b, []), *added.get(b, [])] for b in now.folders | added}
-        return self._store(Snapshot(now.number + 1, max(now.next_id, next_id), folders))
+        filters = now.filters if now.filters is not None and len(now.filters) < MAX_FILTERS else None
+        filters = self._filter(folders, []) if filters is None else self._filter(added, filters)
+        return self._store(Snapshot(now.number + 1, max(now.next_id, next_id), folders, filters))
+
+    def load(self, paths: Sequence[str], multiline: bool = False) -> load.LoadResult:
+        """Load manifest files as :func:`load.load_catalog` does and append what was
+        accepted, the rows of the result. Stored paths are asked through the filters."""
+        now = self.snapshot()
+        result = load.load_catalog(
+            self.spark, paths, start=now.next_id, multiline=multiline, taken=lambda arriving: self.taken(arriving, now)
+        )
+        self.append(result.catalog, result.next_id, now)
+        return result
+
+    def taken(self, paths: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """Distinct ``full_path`` of ``paths`` that the catalog holds.
+
+        The filters rule out nearly all new paths. Those left are compared with the
+        stored ones, of which only base paths above them are read; when none is
+        left no stored path is read. Filters keep the paths of deleted rows until
+        they are made anew, which only costs a comparison.
+        """
+        snapshot = snapshot or self.snapshot()
+        if snapshot.filters is None:
+            return self.rows(snapshot=snapshot).select("full_path").join(paths, "full_path", "left_semi").distinct()
+        stored = [(self.spark.read.parquet(f"{self.path}/{folder}"), blocks) for folder, blocks in snapshot.filters]
+        ensure_checkpoint_dir(self.spark)
+        hits = path_filter.maybe_known(paths, stored).checkpoint()
+        above = F.expr("transform(sequence(1, length(full_path) - length(replace(full_path, '/', ''))), "
+                       "i -> substring_index(full_path, '/', i))")
+        named = hits.where("full_path like '%/%'").select(F.explode(above).alias("base_path")).distinct()
+        bases = self.spark.createDataFrame([(b,) for b in snapshot.folders], "base_path string")
+        # One row per base path, as in the snapshot.
+        reached = [r.base_path for r in bases.join(named, "base_path", "left_semi").collect()]
+        if not reached:
+            return hits.limit(0)
+        return self.rows(reached, snapshot).select("full_path").join(hits, "full_path", "left_semi").distinct()
 
     def delete_by_id(self, ids: DataFrame) -> Snapshot:
         return self._change(ids, "id", lambda rows: maintain.delete_by_id(rows, ids))
@@ -142,6 +187,17 @@ class StoredCatalog:
         kept = {b: f for b, f in now.folders.items() if b not in touched}
         return self._store(now._replace(number=now.number + 1, folders=kept | written))
 
+    def _filter(self, folders: dict[str, list[str]], earlier: list[list]) -> list[list]:
+        """``earlier`` filters and a new one over the paths in ``folders``."""
+        stored = [f"{self.path}/{f}" for found in folders.values() for f in found]
+        if not stored:
+            return earlier
+        rows = self.spark.read.schema(CATALOG_SCHEMA).parquet(*stored)
+        blocks = path_filter.blocks_for(rows.count())
+        folder = f"filters/{self.spark.range(0, 1, 1, 1).select(F.uuid()).first()[0]}"
+        path_filter.build(rows, blocks).write.parquet(f"{self.path}/{folder}")
+        return [*earlier, [folder, blocks]]
+
     def _write(self, rows: DataFrame, number: int) -> dict[str, list[str]]:
         """Rows in new folders, and those folders by base path. A huge base path is
         written by many tasks. The folder's name is drawn, so that writers that meet

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from copyledger.operators import maintain
 from copyledger.registry import tables
 from copyledger.schema import CATALOG_SCHEMA
-from copyledger.sources import load, manifest_io
+from copyledger.sources import load, manifest_io, path_filter, snapshots
 from copyledger.sources.snapshots import SnapshotConflict, StoredCatalog
 
 
@@ -95,6 +95,61 @@ def test_loads_are_appended(spark, stored, tmp_path):
     assert store.rows([odd]).count() == 1
 
 
+def manifest(spark, tmp_path, name, *rows):
+    schema = "hash string, last_modified string, file_size bigint, mime_type string, base_path string, file_path string"
+    lines = [("a" * 40, "2024-01-01T00:00:00", 1, "image/png", base, file) for base, file in rows]
+    manifest_io.write_manifest(spark.createDataFrame(lines, schema), f"{tmp_path}/{name}")
+    return f"{tmp_path}/{name}"
+
+
+def test_loads_ask_filters(spark, stored, tmp_path, monkeypatch):
+    store, catalog = stored
+    read = []
+    plain = store.rows
+    monkeypatch.setattr(store, "rows", lambda bases=None, snapshot=None: read.append(bases) or plain(bases, snapshot))
+    new = [manifest(spark, tmp_path, "1", ("/vol/v1", "new"), ("/else", "x")), manifest(spark, tmp_path, "2", ("/vol", "v1/it's"))]
+    result = store.load(new)
+    assert [r.status for r in result.status.collect()] == ["loaded", "loaded"] and result.catalog.count() == 3
+    assert read == []  # no stored path was read
+    now = store.snapshot()
+    assert len(now.filters) == 2 and now.next_id == result.next_id
+    # The same path by way of another base path, and a file after the failing one.
+    clash = [manifest(spark, tmp_path, "3", ("/vol/v1", "it's"), ("/else", "y")), manifest(spark, tmp_path, "4", ("/else", "z"))]
+    expected = load.load_catalog(spark, clash, existing=plain(), start=now.next_id)
+    again = store.load(clash)
+    assert sorted(again.status.collect()) == sorted(expected.status.collect())
+    assert read and all("/vol" in b and "/else" not in b for b in read)
+    assert rows_of(plain()) == rows_of(expected.catalog)
+    # A deleted path is free again, though the filter still knows it.
+    store.delete_by_path(spark.createDataFrame([("/vol/v1/it's",)], "full_path string"))
+    assert {r.status for r in store.load(clash).status.collect()} == {"loaded"}
+    assert store.load([f"{tmp_path}/none"]).status.first().status == "skipped"
+
+
+def test_filters_are_made_anew(spark, stored, tmp_path, monkeypatch):
+    store, catalog = stored
+    monkeypatch.setattr(snapshots, "MAX_FILTERS", 2)
+    for i in range(2):
+        store.load([manifest(spark, tmp_path, f"{i}", ("/n", f"{i}"))])
+    assert len(store.snapshot().filters) == 1
+    every = store.rows().select("full_path")
+    assert store.taken(every).count() == every.count() == catalog.count() + 2
+    bare = store.snapshot()._replace(filters=None)
+    some = spark.sql("SELECT '/n/1' AS full_path UNION ALL SELECT '/n/1' UNION ALL SELECT null UNION ALL SELECT '' UNION ALL SELECT 'q'")
+    assert [r[0] for r in store.taken(some, bare).collect()] == [r[0] for r in store.taken(some).collect()] == ["/n/1"]
+
+
+def test_filter_is_sharp(spark):
+    known = spark.range(20_000).selectExpr("concat('/a/', id) AS full_path")
+    blocks = path_filter.blocks_for(20_000)
+    built = [(path_filter.build(known, blocks), blocks)]
+    assert path_filter.maybe_known(known, built).count() == 20_000
+    foreign = spark.range(50_000).selectExpr("concat('/b/', id) AS full_path")
+    assert path_filter.maybe_known(foreign, built).count() <= 25
+    assert path_filter.maybe_known(known, []).count() == 0
+    assert [path_filter.blocks_for(n) for n in (0, 1, 8, 9, 16, 100)] == [1, 1, 1, 1, 2, 16]
+
+
 def test_two_writers(spark, stored):
     store, catalog = stored
     other = StoredCatalog(spark, store.path)
