@@ -25,10 +25,13 @@ TOP_TERMS = 200
 SHARD_ROWS = 50_000
 SOURCE_BLOCK = 256
 CELLS = 1_000_000
+# Text whose terms a counting step holds at a time, in bytes.
+BLOCK_BYTES = 2_000_000
 
 
 def _counted(block: pa.RecordBatch) -> pa.Table:
-    """(lang, source, term, n, docs) of the rows of one block."""
+    """(lang, source, term, n, docs) of the rows of one block, by numbers: one sort of
+    (term, row) in which the rows of a group stand together."""
     split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(block.column("text"), "")), BREAKS)
     terms, rows = split.flatten(), pc.list_parent_indices(split)
     whole = pc.greater(pc.binary_length(terms), 0)
@@ -36,23 +39,34 @@ def _counted(block: pa.RecordBatch) -> pa.Table:
     langs, sources = block.column("lang").dictionary_encode(), block.column("source").dictionary_encode()
     width = max(1, len(sources.dictionary))
     group = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
-    per_row = pa.table({"row": rows, "term": terms.indices}).group_by(["row", "term"], use_threads=False)
-    found = per_row.aggregate([([], "count_all")])
-    found = found.append_column("group", pa.array(group[found["row"].to_numpy()]))
-    summed = found.group_by(["group", "term"], use_threads=False).aggregate([("count_all", "sum"), ("count_all", "count")])
-    of = summed["group"].to_numpy()
+    order = np.argsort(group, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    bits = len(order).bit_length()
+    key = terms.indices.to_numpy().astype(np.int64) << bits
+    key |= place[rows.to_numpy()]
+    key.sort()
+    term, of = key >> bits, group[order][key & ((1 << bits) - 1)]
+    fresh = np.ones(len(key), bool)  # a term's first occurrence in a row
+    fresh[1:] = key[1:] != key[:-1]
+    starts = np.ones(len(key), bool)
+    starts[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+    starts = np.flatnonzero(starts)
+    n = np.diff(starts, append=len(key))
+    docs = np.diff(np.append(0, np.cumsum(fresh))[np.append(starts, len(key))])
+    term, of = term[starts].astype(np.int32), of[starts]
     return pa.table({
-        "lang": langs.dictionary.take(pa.array(of // width)),
-        "source": sources.dictionary.take(pa.array(of % width)),
-        "term": terms.dictionary.take(summed["term"].combine_chunks()),
-        "n": summed["count_all_sum"],
-        "docs": summed["count_all_count"],
+        "lang": pa.DictionaryArray.from_arrays(pa.array((of // width).astype(np.int32)), langs.dictionary),
+        "source": pa.DictionaryArray.from_arrays(pa.array((of % width).astype(np.int32)), sources.dictionary),
+        "term": pa.DictionaryArray.from_arrays(pa.array(term), terms.dictionary),
+        "n": n.astype(np.int64),
+        "docs": docs.astype(np.int64),
     })
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = Partials(["lang", "source", "term"], ["n", "docs"])
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         yield from held.add(_counted(block))
     yield from held.finish()
 
