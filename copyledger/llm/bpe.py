@@ -4,11 +4,14 @@ and a merge updates three leaves and their ancestors."""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +116,9 @@ def merge_words(words: Sequence[list[int]], merges: Merges) -> list[list[int]]:
     leaves = 1 << max(0, (width - 2)).bit_length() if width > 2 else 1
     count = len(words)
     sym = np.full((count, width + 2), -1, np.int64)  # two closing columns hold nothing
-    for r, w in enumerate(words):
-        sym[r, : len(w)] = w
+    lengths = np.fromiter(map(len, words), np.int64, count)
+    filled = np.arange(width + 2) < lengths[:, None]
+    sym[filled] = np.fromiter(chain.from_iterable(words), np.int64, int(lengths.sum()))
     after = np.tile(np.arange(1, width + 3), (count, 1))
     before = np.tile(np.arange(-1, width + 1), (count, 1))
     after[:, width:] = width
@@ -158,7 +162,9 @@ def merge_words(words: Sequence[list[int]], merges: Merges) -> list[list[int]]:
         has = h >= 0
         update(rows[has], h[has], keys(rows[has], h[has]))
         rows = rows[tree[rows, 1] < _NONE]
-    return [[s for s in row if s >= 0] for row in sym.tolist()]
+    ids = sym[sym >= 0].tolist()
+    ends = np.cumsum((sym >= 0).sum(axis=1)).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -170,24 +176,21 @@ def encode_chunks(chunks: Sequence[str], path: str) -> list[list[int]]:
     """Ids of distinct chunks without white space, by the file's normalizer and
     pre-tokenizer and the merges above."""
     merges, tokenizer = merges_of(path), load(path)
-    split = tokenizer.pre_tokenizer.pre_tokenize_str
-    cut = [_around(c, merges.special) if any(s in c for s in merges.special) else (c,) for c in chunks]
+    whole = " ".join(chunks)
+    special = {s: i for s, i in merges.special.items() if s in whole}
+    cut = {n: _around(c, special) for n, c in enumerate(chunks) if any(s in c for s in special)} if special else {}
+    if cut:
+        pieces = [p for n, c in enumerate(chunks) for p in cut.get(n, (c,)) if isinstance(p, str)]
+        whole = " ".join(pieces)
+    else:
+        pieces = chunks
     # One call for all pieces: the blanks between them stay as they are.
-    pieces = [p for parts in cut for p in parts if isinstance(p, str)]
-    normal = iter(tokenizer.normalizer.normalize_str(" ".join(pieces)).split(" ") if pieces else ())
-    plan: list[list[int | str]] = []
-    distinct: dict[str, list[int]] = {}
-    for parts in cut:
-        row: list[int | str] = []
-        for part in parts:
-            if isinstance(part, int):
-                row.append(part)
-                continue
-            text = next(normal)
-            words = _PLAIN.findall(text) if text.isascii() and text.isprintable() else [w for w, _ in split(text)]
-            row += words
-            distinct.update(dict.fromkeys(words))
-        plan.append(row)
+    normal = tokenizer.normalizer.normalize_str(whole).split(" ") if pieces else []
+    split = tokenizer.pre_tokenizer.pre_tokenize_str
+    words = [
+        _PLAIN.findall(t) if t.isascii() and t.isprintable() else [w for w, _ in split(t)] for t in normal
+    ]
+    distinct: dict[str, list[int]] = dict.fromkeys(chain.from_iterable(words))
     groups: dict[int, list[str]] = {}
     for word in distinct:
         groups.setdefault(len(word).bit_length() if len(word) <= _TOGETHER else 0, []).append(word)
@@ -195,7 +198,15 @@ def encode_chunks(chunks: Sequence[str], path: str) -> list[list[int]]:
         coded = [merges.symbols(w) for w in group]
         ids = merge_words(coded, merges) if size else [merge_word(s, merges) for s in coded]
         distinct.update(zip(group, ids))
-    return [[i for p in parts for i in ((p,) if isinstance(p, int) else distinct[p])] for parts in plan]
+    # Most pieces are one word, whose list is shared.
+    coded = [distinct[w[0]] if len(w) == 1 else [i for p in w for i in distinct[p]] for w in words]
+    if not cut:
+        return coded
+    of_piece = iter(coded)
+    return [
+        [i for p in cut[n] for i in ((p,) if isinstance(p, int) else next(of_piece))] if n in cut else next(of_piece)
+        for n in range(len(chunks))
+    ]
 
 
 def _around(text: str, special: dict[str, int]) -> list[int | str]:
@@ -214,6 +225,19 @@ def _around(text: str, special: dict[str, int]) -> list[int | str]:
     return found
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the search for reference cycles, which goes through all remembered
+    chunks again and again while many small lists are made; none of them has a cycle."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def _remembered(path: str, value: Callable[[list[int]], object]) -> Callable[[list[list[str]]], dict]:
     """A table from chunks to what ``value`` makes of their ids, filled as
     chunks turn up and emptied when it holds REMEMBERED of them."""
@@ -222,8 +246,9 @@ def _remembered(path: str, value: Callable[[list[int]], object]) -> Callable[[li
     def fill(texts: list[list[str]]) -> dict:
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({c for chunks in texts for c in chunks if c not in known})
-        known.update(zip(new, map(value, encode_chunks(new, path))))
+        with _uncollected():
+            new = list({c for chunks in texts for c in chunks if c not in known})
+            known.update(zip(new, map(value, encode_chunks(new, path))))
         return known
 
     return fill
@@ -231,10 +256,13 @@ def _remembered(path: str, value: Callable[[list[int]], object]) -> Callable[[li
 
 @lru_cache(maxsize=2)
 def _strings(path: str) -> Callable[[list[list[str]]], dict]:
-    tokens = merges_of(path).tokens
+    tokens = {i: t.encode() for i, t in merges_of(path).tokens.items()}
+    digits = {i: b"%d" % i for i in tokens}
 
     def value(ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
+        if len(ids) == 1:
+            return 1, digits[ids[0]], tokens[ids[0]]
+        return len(ids), b" ".join([digits[i] for i in ids]), b" ".join([tokens[i] for i in ids])
 
     return _remembered(path, value)
 
@@ -251,12 +279,11 @@ def _digests(path: str) -> Callable:
             known = _strings(path)(split)
             out = []
             for doc_id, chunks in zip(cols["doc_id"], split):
-                parts = [known[c] for c in chunks]
-                ids = b" ".join([p[1] for p in parts if p[0]])
-                decoded = b" ".join([p[2] for p in parts if p[0]])
-                out.append(
-                    (doc_id, sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                )
+                parts = [p for c in chunks if (p := known[c])[0]]
+                counts, ids, decoded = zip(*parts) if parts else ((), (), ())
+                out.append((
+                    doc_id, sum(counts), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(decoded)).hexdigest()
+                ))
             yield pa.record_batch(
                 [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string()])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

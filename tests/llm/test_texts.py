@@ -1,5 +1,6 @@
 """Token counts, BPE, packing and lines against the libraries and plain Python."""
 
+import gc
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +72,33 @@ def test_segment_tree_merges_leftmost_lowest_rank_first():
     assert bpe.merge_words(coded, merges) == expected
 
 
+def test_bpe_chunks_with_special_strings():
+    path = tokenizer_path("word_bpe_49k.json")
+    special = max(bpe.merges_of(path).special, key=len)
+    odd = ["plain", f"a{special}b", special, "\x00", f"{special}{special}Été", "don't", "plain,", "x" * 200, "42", "a\x1cb"]
+    word = library("word_bpe_49k.json")
+    for chunks in (odd, odd[:1], [c for c in odd if special not in c], []):
+        assert bpe.encode_chunks(chunks, path) == [word.encode(c, add_special_tokens=False).ids for c in chunks]
+
+
+def test_new_chunks_are_encoded_without_searches_for_cycles():
+    path, seen = tokenizer_path("word_bpe_49k.json"), []
+    fill = bpe._remembered(path, lambda ids: (len(ids), bytes(len(ids))))
+    fill([["warm"]])
+    note = lambda phase, info: seen.append(phase)
+    gc.callbacks.append(note)
+    try:
+        known = fill([[f"w{i}x" for i in range(20_000)]])
+    finally:
+        gc.callbacks.remove(note)
+    assert len(known) == 20_001
+    assert seen.count("start") <= 2  # one is due afterwards
+    assert gc.isenabled()
+    with pytest.raises(TypeError):
+        fill([[None]])
+    assert gc.isenabled()
+
+
 def test_pieces_rejoin():
     text = "  a b\x1cc\r\n\n d\xa0e　f  "
     assert "".join(units_of(text)) == text
